@@ -1 +1,10 @@
-"""Operators for training-data pipelines. Nothing outside this subpackage imports it."""
+"""Operators for training-data pipelines. Nothing outside this subpackage imports it.
+
+Functions that run on executors travel with their tasks, so executors need the third-party libraries but not this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

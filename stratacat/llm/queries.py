@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratacat.llm import chat, mixing, pii, urls
+from stratacat.llm import chat, mixing, pii, simhash, urls
 
 QUERIES = {
     "op4_url_cascade": urls.op4,
+    "op6_simhash_near_duplicates": simhash.op6,
     "op8_chat_round_trip": chat.op8,
     "op9_mix_sources": mixing.op9,
     "op10_pii_spans": pii.op10,

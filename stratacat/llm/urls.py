@@ -77,7 +77,7 @@ class Cascade:
             self.levels.append(_build(ins, n, len(self.levels), rate, most_bits))
             passing = cut(outs.where(self._passes(spark, F.col("key"), len(self.levels) - 1)))
             ins, outs, n = passing, ins, passing.count()
-        self._sent = spark.sparkContext.broadcast(self.levels)
+        self._sent = spark.sparkContext.broadcast([(x.bits, x.hashes) for x in self.levels])
 
     def _passes(self, spark: SparkSession, key: Column, level: int) -> Column:
         sent = spark.sparkContext.broadcast(self.levels[level].bits)
@@ -101,11 +101,11 @@ class Cascade:
             counts = [len(x) // stride for x in all_places]
             flat = np.concatenate([*all_places, np.zeros(0, dtype=np.int64)]).astype(np.int64).reshape(-1, stride)
             result, open_, at = np.zeros(len(flat), dtype=bool), np.ones(len(flat), dtype=bool), 0
-            for i, level in enumerate(sent.value):
-                passed = level.bits[flat[:, at : at + level.hashes]].all(axis=1)
+            for i, (bits, hashes) in enumerate(sent.value):
+                passed = bits[flat[:, at : at + hashes]].all(axis=1)
                 result[open_ & ~passed] = i % 2 == 1
                 open_ &= passed
-                at += level.hashes
+                at += hashes
             result[open_] = len(sent.value) % 2 == 1
             return pd.Series(np.split(result, np.cumsum(counts)[:-1]) if counts else [])
 
