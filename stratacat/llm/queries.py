@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stratacat.llm import chat, mixing, pii, simhash, urls
+from stratacat.llm import chat, mixing, pii, quality, simhash, urls
 
 QUERIES = {
+    "op1_quality_outliers": quality.op1,
     "op4_url_cascade": urls.op4,
     "op6_simhash_near_duplicates": simhash.op6,
     "op8_chat_round_trip": chat.op8,
