@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """df cut, and marked for broadcast only if its rows, counted and measured as text, have no more than most_bytes; else Spark joins it as it would any table."""
+    df = cut(df)
+    if not df.columns:
+        return df
+    n = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most_bytes else df
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """fn on the columns of each Arrow batch, as lists. A batch holds no more than spark.sql.execution.arrow.maxRecordsPerBatch rows."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from stratacat.llm import chat, mixing, pii, quality, simhash, urls
+from stratacat.llm import chat, decontam, mixing, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_quality_outliers": quality.op1,
     "op4_url_cascade": urls.op4,
     "op6_simhash_near_duplicates": simhash.op6,
+    "op7_spaced_seed_leaks": decontam.op7,
     "op8_chat_round_trip": chat.op8,
     "op9_mix_sources": mixing.op9,
     "op10_pii_spans": pii.op10,
 }
-ORACLES = {"op4_url_cascade": urls.SQL, "op8_chat_round_trip": chat.SQL, "op9_mix_sources": mixing.SQL}
+ORACLES = {"op7_spaced_seed_leaks": decontam.SQL, "op4_url_cascade": urls.SQL, "op8_chat_round_trip": chat.SQL, "op9_mix_sources": mixing.SQL}
