@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratacat.llm import chat, decontam, mixing, pii, quality, simhash, urls
+from stratacat.llm import chat, decontam, html, mixing, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_quality_outliers": quality.op1,
+    "op3_html_main_text": html.op3,
     "op4_url_cascade": urls.op4,
     "op6_simhash_near_duplicates": simhash.op6,
     "op7_spaced_seed_leaks": decontam.op7,
