@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stratacat.llm import chat, decontam, html, mixing, pii, quality, simhash, urls
+from stratacat.llm import chat, decontam, html, mixing, pii, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_quality_outliers": quality.op1,
     "op3_html_main_text": html.op3,
     "op4_url_cascade": urls.op4,
+    "op5_separator_scan": tokens.op5,
     "op6_simhash_near_duplicates": simhash.op6,
     "op7_spaced_seed_leaks": decontam.op7,
     "op8_chat_round_trip": chat.op8,

@@ -9,10 +9,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacat.llm.common import cut, map_batches, table
+from stratacat.llm.common import cut, let, map_batches, sized, table, words
 from stratacat.llm.components import components
 
 SEED = 42
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RADIUS = 3
 
 
@@ -114,3 +115,70 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: Column, size: int) -> Column:
+    """The distinct shingles of a text as XXH64; fewer words than size: the whole sequence is the one shingle."""
+    ws = words(F.translate(text, UPPER, LOWER))
+    some = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+    return let(ws, lambda w: F.when(F.size(w) > 0, F.array_distinct(some(w))).otherwise(F.array().cast("array<long>")))
+
+
+def similar(docs: DataFrame, views: int = 4, size: int = 5, least: float = 0.8) -> DataFrame:
+    """a, b: text hashes of different texts of docs that SimHash finds near each other and whose shingle sets have a Jaccard similarity of least or more.
+
+    Three bits of 64 are few: of pairs at a similarity of 0.8, SimHash over shingles links one in six. So the fingerprints are taken over the distinct words, which an edit
+    changes less, in several views of independent hashes; each view's links (and, of one fingerprint's texts, each with the smallest) are candidates, and whole texts verify them.
+    """
+    k2 = F.xxhash64(docs["text"])
+    by_text = cut(map_batches(docs.select(k2.alias("doc_id"), docs["text"].alias("text")), lambda c: {"k2": c["doc_id"], "fps": [word_views(t, views) for t in c["text"]]}, "k2 long, fps array<long>").groupBy("k2").agg(F.first("fps").alias("fps")))
+    found = None
+    for v in range(views):
+        of = cut(by_text.groupBy(F.get("fps", F.lit(v)).alias("fp")).agg(F.min("k2").alias("least"), F.count("*").alias("n")))
+        near = cut(links(of.select("fp")))
+        ends = near.join(of.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+        same = by_text.select("k2", F.get("fps", F.lit(v)).alias("fp")).join(of.where("n > 1"), "fp").where("k2 <> least").select(F.col("least").alias("x"), F.col("k2").alias("y"))
+        both = ends.union(same)
+        found = both if found is None else found.union(both)
+    pairs = cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("k2")).distinct())
+    texts = docs.select(k2.alias("k2"), docs["text"].alias("text")).join(sized(named), "k2", "left_semi").dropDuplicates(["k2"])
+    sets = cut(texts.select("k2", shingle_set(F.col("text"), size).alias("s")))
+    j = pairs.join(sets.select(F.col("k2").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k2").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return j.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).where(shared > 0).select("a", "b")
+
+
+def word_views(text: str | None, views: int) -> list[int]:
+    """Fingerprints of the distinct words, one for each view."""
+    ws = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    if not ws:
+        return [0] * views
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in ws], dtype=np.uint64)
+    out = []
+    for v in range(views):
+        x = (h ^ np.uint64((v + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        ones = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(ws), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs, with its columns, and of each group of rows joined by equal texts or by links of `similar` one row: that of the smallest doc_id, ids before nulls.
+
+    Only hashes are grouped and joined: a row is its doc_id and its text's hash. What goes is a list of such pairs, broadcast where its measured size allows and else
+    joined by hash. Of rows that repeat id and text one stays. Null texts are equal to each other.
+    """
+    k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(docs["text"])
+    rows = cut(docs.select(k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("n")))
+    roots = components(similar(docs, **how))
+    groups = rows.join(roots, rows["k2"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "k2").alias("root"))
+    first = groups.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("first"))
+    gone = sized(groups.join(first, "root").where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
+    kept = docs.join(gone, (k1 == gone["__k1"]) & (k2 == gone["__k2"]), "left_anti")
+    again = sized(rows.where("n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
+    once = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"]), "left_anti")
+    repeated = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"])).dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    return once.unionByName(repeated)
