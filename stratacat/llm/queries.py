@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratacat.llm import chat, decontam, html, mixing, pii, quality, simhash, tokens, urls
+from stratacat.llm import chat, decontam, html, mixing, pii, quality, simhash, suffix, tokens, urls
 
 QUERIES = {
     "op1_quality_outliers": quality.op1,
+    "op2_suffix_repeats": suffix.op2,
     "op3_html_main_text": html.op3,
     "op4_url_cascade": urls.op4,
     "op5_separator_scan": tokens.op5,
