@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacat.llm.common import words
+from stratacat.llm.common import sized, words
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -45,22 +45,24 @@ def _uniform(seed: int, doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 9) -> DataFrame:
-    """Every row of docs, its columns in the struct `doc`, with size, source_size, target, copies and taken = size * copies.
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 9, columns: list[str] | None = None) -> DataFrame:
+    """Every row of docs, its columns (or those named) in the struct `doc`, with size, source_size, target, copies and taken = size * copies.
 
     Size is the number of words of the text (null: 0). copies is floor(target / source_size) plus one with the fraction as probability,
     drawn from a hash of seed and doc_id, so reruns and retries agree. Rows that repeat an id get the same draw. A source without words takes no copies.
-    Texts are read once; only doc rows meet the per-source table, which Spark broadcasts where its measured size allows and else joins with skew splitting.
+    The texts are read twice, for the sizes of sources and for the rows. The per-source table is broadcast where its measured size allows, so that no text is shuffled;
+    beyond that it is joined with Spark's skew splitting.
     """
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    d = d.withColumn("size", F.size(words(F.col("doc.text"))).cast("long"))
+    d = docs.select(
+        F.struct(*[docs[c] for c in columns or docs.columns]).alias("doc"), docs["source"].alias("__source"), F.size(words(docs["text"])).cast("long").alias("size"), _uniform(seed, docs["doc_id"], docs["text"]).alias("__u")
+    )
     sizes = docs.select(docs["source"].alias("source"), F.size(words(docs["text"])).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    t = source_targets(sizes, weights, share, cap)
+    t = sized(source_targets(sizes, weights, share, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
-        d.join(t, d["doc.source"].eqNullSafe(t["source"]), "inner")
+        d.join(t, d["__source"].eqNullSafe(t["source"]), "inner")
         .withColumn("__rate", rate)
-        .withColumn("copies", F.floor("__rate") + F.when(_uniform(seed, F.col("doc.doc_id"), F.col("doc.text")) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0))
+        .withColumn("copies", F.floor("__rate") + F.when(F.col("__u") < F.col("__rate") - F.floor("__rate"), 1).otherwise(0))
         .select("doc", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
     )
 
@@ -74,7 +76,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
     from stratacat.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_plan(docs).select("doc.doc_id", "size", "source_size", "target", "taken")
+    return mix_plan(docs, columns=["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
