@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +20,13 @@ class BadVersion(ValueError):
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), size, mtime of every file below root; contents aren't read."""
+    """path (below root), size, mtime of every file below root; contents aren't read. Spark's reader skips empty files: they come from its index, with no mtime."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     top = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    rel = F.substring_index(F.col("path"), f"{top}/", -1)
-    return files.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    rel = lambda c: F.substring_index(c, f"{top}/", -1)
+    some = files.select(rel(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    names = spark.createDataFrame([(unquote(n),) for n in files.inputFiles()], "name string").select(rel(F.col("name")).alias("path"))
+    return some.unionByName(names.join(some, "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("mtime")))
 
 
 def walk(spark: SparkSession, root: str, ignore: Sequence[tuple[str, bool]] = (), explicit: DataFrame | None = None, own: Sequence[str] = (".ignore",)) -> DataFrame:
@@ -41,7 +44,8 @@ def tree(spark: SparkSession, root: str, magic: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     top = root.rstrip("/").split("://")[-1].removeprefix("file:")
     p = identity.pointer(F.when(F.col("length") < 4096, F.col("content").cast("string")), magic)
-    return files.select(F.substring_index("path", f"{top}/", -1).alias("path"), F.coalesce(p["sha256"], F.sha2("content", 256)).alias("sha256"), F.coalesce(p["size"], F.col("length")).alias("size"))
+    some = files.select(F.substring_index("path", f"{top}/", -1).alias("path"), F.coalesce(p["sha256"], F.sha2("content", 256)).alias("sha256"), F.coalesce(p["size"], F.col("length")).alias("size"))
+    return some.unionByName(listing(spark, root).where("size = 0").select("path", F.sha2(F.lit("").cast("binary"), 256).alias("sha256"), "size"))
 
 
 def objects(spark: SparkSession, root: str, member: str = "") -> DataFrame:
