@@ -124,6 +124,17 @@ def last_known(snapshots: DataFrame) -> DataFrame:
     return snapshots.where("generation < 2").withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
+def last_known_holders(snapshots: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, name, generation of the member that the newest of the two kept generations knows to hold each of ids (id); of several the first by name. snapshots: with the array ids."""
+    held = snapshots.where("generation < 2").select("name", "generation", F.explode("ids").alias("id")).join(ids.select("id").distinct(), "id", "left_semi")
+    return held.groupBy("id").agg(F.min(F.struct("generation", "name")).alias("x")).select("id", "x.name", "x.generation")
+
+
+def online(peers: DataFrame) -> DataFrame:
+    """name, dns of the peers that are online."""
+    return peers.where("online").select("name", "dns")
+
+
 def rotate(snapshots: DataFrame, new: DataFrame) -> DataFrame:
     """new becomes generation 0, what was there moves one back, and only two stay."""
     return new.withColumn("generation", F.lit(0)).unionByName(snapshots.withColumn("generation", F.col("generation") + 1).where("generation < 2"))
@@ -140,3 +151,15 @@ def status(members: DataFrame, pending: DataFrame, catalog: DataFrame, snapshots
 
 def worst_exit(outcomes: DataFrame, code: Column) -> DataFrame:
     return outcomes.agg(F.coalesce(F.max(code), F.lit(0)).alias("exit_code"))
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def fetch_plan(resolved: DataFrame, catalog: DataFrame, objects: DataFrame) -> DataFrame:
+    """id, member, verdict of resolved files: not-found, no-bytes, ok, or for other bytes than recorded drifted (files that git doesn't keep may change) or corrupt."""
+    c = catalog.select("id", "member", "sha256", "sync_mode")
+    j = resolved.select("id", "member", "outcome").join(c, ["id", "member"], "left").join(objects.select(F.col("object_key").alias("sha256"), "observed_sha"), "sha256", "left")
+    v = F.when(F.col("sync_mode").isNull(), "not-found").when(F.col("observed_sha").isNull(), "no-bytes").when(F.col("observed_sha") == F.col("sha256"), "ok").when(F.col("sync_mode") == "git", "corrupt").otherwise("drifted")
+    return j.select("id", "member", v.alias("verdict"))

@@ -143,3 +143,29 @@ def roster_change(members: DataFrame, change: DataFrame, at_s: int) -> Outcome:
     ok = report.where("verdict = 'applied'").select("name", "status", F.lit(at_s).cast("long").alias("joined_at_s"))
     kept = members.join(ok.select("name"), "name", "left_anti").select("name", "status", F.lit(None).cast("long").alias("joined_at_s"))
     return Outcome(kept.unionByName(ok), report)
+
+
+def remove(catalog: DataFrame, wanted: DataFrame, confirmed: bool) -> Outcome:
+    """The catalog without the rows of wanted (member, path); report: no-file, unconfirmed, row (others of the member share the bytes) or bytes. Of rows of one content that go together the last takes the bytes."""
+    from pyspark.sql import Window
+
+    same = Window.partitionBy("member", "sha256")
+    c = catalog.select("member", "path", "sha256").join(wanted.select("member", "path", F.lit(True).alias("go")).distinct(), ["member", "path"], "left")
+    c = c.withColumn("stay", F.sum(F.when(F.col("go"), 0).otherwise(1)).over(same)).withColumn("rank", F.row_number().over(same.orderBy(F.coalesce("go", F.lit(False)).desc(), F.col("path").desc())))
+    v = F.when(F.col("stay").isNull(), "no-file").when(F.lit(not confirmed), "unconfirmed").when((F.col("stay") == 0) & (F.col("rank") == 1), "bytes").otherwise("row")
+    report = wanted.select("member", "path").distinct().join(c.where("go").select("member", "path", "stay", "rank"), ["member", "path"], "left").select("member", "path", v.alias("verdict"))
+    return Outcome(catalog.join(report.where("verdict in ('row', 'bytes')").select("member", "path"), ["member", "path"], "left_anti"), report)
+
+
+def header(own: DataFrame, peers: DataFrame, standalone: bool) -> DataFrame:
+    """fed_id, source of the header that a rebuilt catalog takes: its own if it could be read, else the peers' if they agree on one, else none if it may stand alone. No row: refuse."""
+    none = lambda df: df.where("coalesce(fed_id, '') <> ''").select("fed_id").distinct()
+    agreed = none(peers).agg(F.count("*").alias("n"), F.min("fed_id").alias("fed_id")).where("n = 1").select("fed_id", F.lit(2).alias("rank"), F.lit("peers").alias("source"))
+    mine = none(own).select("fed_id", F.lit(1).alias("rank"), F.lit("own").alias("source"))
+    alone = own.sparkSession.range(1 if standalone else 0).select(F.lit(None).cast("string").alias("fed_id"), F.lit(3).alias("rank"), F.lit("standalone").alias("source"))
+    return mine.unionByName(agreed).unionByName(alone).orderBy("rank", "fed_id").limit(1).select("fed_id", "source")
+
+
+def genesis_source(receipts: DataFrame, records: DataFrame, locked: DataFrame, which: str) -> DataFrame:
+    """id and the record's four fields from exactly one of the three: receipt, record or lock."""
+    return {"receipt": receipts, "record": records, "lock": locked}[which].select("id", *identity.GENESIS)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacat.fixtures import Views, duck
+from stratacat import schemas
+from stratacat.fixtures import VIEWS, Views, duck
 from stratacat.functions import globs, identity, scalars
 from stratacat.operators import federation, gc, locks, projection, scan, status, wal
 from stratacat.plans import pipelines
+from stratacat.sources import files
 
 MAGIC = "blob.v1"
 RULES = {"min_size": 4096, "include": ["**/*.pdf", "**/*.stl"], "exclude": ["**/*.tmp", "src3/**"], "history": False, "overrides": [("src1/**", True, True), ("*/fr/**", True, None), ("**/*1.pdf", False, True)]}
@@ -122,6 +124,11 @@ def _by_member():  # noqa: ANN202
     return Window.partitionBy("member").orderBy("doc_id")
 
 
+GENESIS_SHA = """sha(concat('content_sha256 = "',content_sha256,'"',chr(10),'original_path = "',original_path,'"',chr(10),'ingest_op_id = "',ingest_op_id,'"',chr(10),'origin_node = "',origin_node,'"',chr(10)))"""
+LOCATION = [f"case when s_suppkey % {n} = {r} then '' else {v} end as {c}" for c, n, r, v in (("node", 3, 0, "'n'"), ("base_path", 11, 3, "'/b'"), ("user", 4, 1, "'u'"), ("share", 5, 2, "'s'"))] + ["case s_suppkey % 4 when 0 then 'local' when 1 then 'ssh' when 2 then 'share' else 'odd' end as backend"]
+PEER = """concat('{"Peer": {"k": {"HostName": "', case when n_nationkey % 4 = 0 then '' else n_name end, '", "DNSName": "', n_name, '.net.", "Online": ', case when n_nationkey % 3 > 0 then 'true' else 'false' end, ', "IPs": [', case when n_nationkey % 8 = 0 then '' else concat('"10.0.0.', cast(n_nationkey as string), '"') end, ']}}}')"""
+PATH = VIEWS["fx_tree"].split("select ", 1)[1].split(" as path", 1)[0]
+
 Query = tuple[Callable[[Views], DataFrame], str | None]
 
 CATALOG: dict[str, Query] = {
@@ -346,6 +353,67 @@ CATALOG: dict[str, Query] = {
     ),
 }
 
+CATALOG |= {
+    "lock_validate": (
+        lambda v: schemas.lock_problems(v.fx_catalog.select("path", F.when(F.col("doc_id") % 4 > 0, F.col("id")).alias("id"), F.when(F.col("doc_id") % 5 > 0, F.struct(*identity.GENESIS[:2], F.when(F.col("doc_id") % 11 > 0, F.col("ingest_op_id")).alias("ingest_op_id"), "origin_node")).alias("genesis"))),
+        f"select path, problem from (select path, case when doc_id % 4 > 0 and doc_id % 5 = 0 then 'id-without-genesis' when doc_id % 4 = 0 and doc_id % 5 > 0 then 'genesis-without-id' when doc_id % 4 > 0 and doc_id % 11 = 0 then 'genesis-incomplete' when doc_id % 4 > 0 and id <> {GENESIS_SHA} then 'id-mismatch' end as problem from @fx_catalog) x where problem is not null",
+    ),
+    "catalog_validate": (
+        lambda v: schemas.catalog_problems(v.fx_catalog.select("member", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 7 == 0, F.upper("id")).otherwise(F.col("id")).alias("id"))),
+        "select member, path, id, problem from (select member, case when doc_id % 9 = 0 then '' else path end as path, case when doc_id % 7 = 0 then upper(id) else id end as id, case when doc_id % 9 = 0 then 'path' when doc_id % 7 = 0 and id <> upper(id) then 'id' end as problem from @fx_catalog) x where problem is not null",
+    ),
+    "location_validate": (
+        lambda v: schemas.location_problems(v.supplier.select(F.col("s_name").alias("name"), *[F.expr(x) for x in LOCATION])),
+        f"""select name, problem from (select *, case when base_path = '' then 'base_path' when backend not in ('local','ssh','share') then 'backend' when backend = 'local' then (case when node <> '' or "user" <> '' or share <> '' then 'local-takes-only-base_path' end) when node = '' then 'node' when backend = 'ssh' and "user" = '' then 'user' when backend = 'share' and share = '' then 'share' end as problem from (select s_name as name, {', '.join(LOCATION).replace('as user', 'as "user"')} from @supplier) y) x where problem is not null""",
+    ),
+    "peers_online": (
+        lambda v: federation.online(files.peers(v.nation.select(F.expr(PEER).alias("value")))),
+        "select case when n_nationkey % 4 = 0 then '10.0.0.' || n_nationkey else n_name end as name, n_name || '.net' as dns from @nation where n_nationkey % 3 > 0 and not (n_nationkey % 4 = 0 and n_nationkey % 8 = 0)",
+    ),
+    "last_known_holders": (
+        lambda v: _long(federation.last_known_holders(v.fx_query.where("doc_id % 4 < 2").groupBy(F.concat(F.lit("node-"), (F.col("doc_id") % 5).cast("string")).alias("name"), (F.col("doc_id") % 3).cast("int").alias("generation")).agg(F.collect_list("id").alias("ids")), v.fx_query.where("doc_id % 2 = 0")), "generation"),
+        "select id, concat('node-', cast(doc_id % 5 as string)) as name, doc_id % 3 as generation from @fx_query where doc_id % 4 = 0 and doc_id % 3 < 2",
+    ),
+    "heal_counts": (
+        lambda v: federation.verdict_counts(federation.heal(v.fx_query.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), "id", F.concat(F.lit("node-"), (F.col("doc_id") % 3).cast("string")).alias("location")), _moves_state(v))),
+        f"with recursive {RESOLVE} select verdict, count(*) as n from (select case when outcome like 'found%' then case when member = concat('node-', cast(q.doc_id % 3 as string)) then 'at-home' else 'healed' end when outcome = 'missing' then 'missing' else 'partial' end as verdict from @fx_query q join res on q.id = res.id) x group by verdict",
+    ),
+    "fetch_plan": (
+        lambda v: federation.fetch_plan(v.fx_catalog.select("id", F.when(F.col("doc_id") % 6 == 0, "nowhere").otherwise(F.col("member")).alias("member"), F.lit("found-at-home").alias("outcome")), v.fx_catalog, v.fx_objects),
+        "select id, case when doc_id % 6 = 0 then 'nowhere' else member end as member, case when doc_id % 6 = 0 then 'not-found' when o.object_key is null then 'no-bytes' when o.observed_sha = c.sha256 then 'ok' when sync_mode = 'git' then 'corrupt' else 'drifted' end as verdict from @fx_catalog c left join @fx_objects o on c.sha256 = o.object_key",
+    ),
+    "target_parse": (
+        lambda v: v.fx_catalog.select("path", F.when(F.col("doc_id") % 3 == 0, F.upper(F.expr("substring(id, 1, cast(8 + doc_id % 9 as int))"))).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", "member", "path")).otherwise(F.concat("member", F.lit("/"))).alias("text")).select("path", scalars.target(F.col("text")).alias("t")).select("path", "t.id", "t.member", F.col("t.path").alias("rel")),
+        "select path, case when doc_id % 3 = 0 and doc_id % 9 >= 4 then substr(id, 1, 8 + doc_id % 9) end as id, case when doc_id % 3 = 1 then member end as member, case when doc_id % 3 = 1 then path end as rel from @fx_catalog",
+    ),
+    "gc_sweep": (lambda v: gc.sweep(v.fx_objects, gc.mark(v.fx_objects, locks.referenced(v.fx_lock, v.fx_lock_version))).select("object_key"), "select object_key from @fx_objects where object_key in (select sha256 from @fx_lock union select sha256 from @fx_lock_version)"),
+    "remove_plan": (
+        lambda v: pipelines.remove(v.fx_catalog, v.fx_tree.where("doc_id % 4 = 1").select(F.concat(F.lit("node-"), (F.col("doc_id") % 5).cast("string")).alias("member"), "path").union(v.nation.limit(1).select(F.lit("node-1"), F.lit("nowhere"))), True).report,
+        """with g as (select member, path, sha256 from @fx_catalog where doc_id % 4 = 1), c as (select g.*, (select count(*) from @fx_catalog x where x.member = g.member and x.sha256 = g.sha256 and x.doc_id % 4 <> 1) as stay, row_number() over (partition by member, sha256 order by path desc) as r from g)
+         select member, path, case when stay = 0 and r = 1 then 'bytes' else 'row' end as verdict from c union all select 'node-1', 'nowhere', 'no-file'""",
+    ),
+    "restore_identity": (
+        lambda v: pipelines.restore_identity(v.fx_catalog, v.fx_catalog.where("doc_id % 3 = 1").select(F.when(F.col("doc_id") % 5 == 1, F.lit("nowhere")).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 7 == 1, identity.mint_id({**{k: F.col(k) for k in identity.GENESIS}, "origin_node": F.lit("old")})).otherwise(F.col("id")).alias("restored_id"), *identity.GENESIS[:3], F.when(F.col("doc_id") % 7 == 1, "old").otherwise(F.col("origin_node")).alias("origin_node"))).report.select("path", "verdict"),
+        f"select case when doc_id % 5 = 1 then 'nowhere' else path end as path, case when doc_id % 7 <> 1 and id <> {GENESIS_SHA} then 'not-certified' when doc_id % 5 = 1 then 'no-file' when doc_id % 7 = 1 then 'restored' else 'already' end as verdict from @fx_catalog where doc_id % 3 = 1",
+    ),
+    "roster_change": (
+        lambda v: pipelines.roster_change(v.fx_members, v.fx_members.select("name", F.when(F.col("name") < "node-2", "left").when(F.col("name") < "node-4", "evicted").otherwise("active").alias("status")), 7).report,
+        "select name, status, verdict from (select name, case when name < 'node-2' then 'left' when name < 'node-4' then 'evicted' else 'active' end as status, case when name in ('node-2') then 'refused-live' else 'applied' end as verdict from @fx_members) x",
+    ),
+    "smudge_check": (
+        lambda v: pipelines.smudge(v.documents.select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), (F.octet_length("text") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size")), v.documents.where("doc_id % 3 > 0").select(F.sha2("text", 256).alias("object_key"), F.when(F.col("doc_id") % 7 == 0, F.lit("rot")).otherwise(F.col("text")).cast("binary").alias("content")).groupBy("object_key").agg(F.min("content").alias("content"))).select("path", "verdict"),
+        "with o as (select sha(text) as k, min(encode(case when doc_id % 7 = 0 then 'rot' else text end)) as c from @documents where doc_id % 3 > 0 group by 1) select cast(d.doc_id as string) as path, case when o.k is null then 'missing' when sha256(o.c) <> o.k then 'corrupt' when octet_length(o.c) <> bytes(d.text) + (case when d.doc_id % 5 = 0 then 1 else 0 end) then 'size' else 'ok' end as verdict from @documents d left join o on sha(d.text) = o.k",
+    ),
+    "clean_filter": (
+        lambda v: v.sql(f"select {PATH} as path, text, doc_id from @documents").select("path", F.sha2(pipelines.clean(F.col("text").cast("binary"), F.col("path"), F.octet_length("text").cast("long"), "node-1", MAGIC, **RULES), 256).alias("sha256")),
+        f"select path, sha(case when (bytes(text) >= 4096 or regexp_matches(path, '{RX_IN}')) and not regexp_matches(path, '{RX_EX}') then concat('blob.v1',chr(10),'sha256 ',sha(text),chr(10),'size ',cast(bytes(text) as string),chr(10),'location node-1',chr(10)) else text end) as sha256 from (select {PATH} as path, text from @documents) x",
+    ),
+    "wal_encode": (
+        lambda v: v.fx_wal.select("op_id", F.sha2(identity.wal_text({"seq": F.col("seq"), "op_id": F.col("op_id"), "prev_hash": F.lit("0"), "op_type": F.col("op_type"), "blob_refs": F.array("content_sha256", F.lit('q"')), "actor": F.lit("me"), "created_at": F.lit("2024-01-01T00:00:00Z"), "args": F.create_map(F.lit("path"), F.col("path"), F.lit("from"), F.lit("x"))}), 256).alias("self_hash")),
+        """select op_id, sha(concat('seq = ',cast(seq as string),chr(10),'op_id = "',op_id,'"',chr(10),'prev_hash = "0"',chr(10),'op_type = "',op_type,'"',chr(10),'blob_refs = ["',content_sha256,'", "q\\""]',chr(10),'actor = "me"',chr(10),'created_at = 2024-01-01T00:00:00Z',chr(10),chr(10),'[args]',chr(10),'from = "x"',chr(10),'path = "',path,'"',chr(10))) as self_hash from @fx_wal""",
+    ),
+}
+
 
 def _path_order():  # noqa: ANN202
     from pyspark.sql import Window
