@@ -53,39 +53,36 @@ def resolve(queries: DataFrame, held: DataFrame, moves: DataFrame, members: Data
 
     Of the active members that answer, the home holds it: found-at-home; else the first by name that does: found-elsewhere. Else the pointers that answering members left
     are followed, first by name: the chain ends found, or partial-view where its next member is unknown or silent (pointer names it), or as error in a circle or after most_hops;
-    a chain that ends at a member without the file says nothing. Else partial-view if an active member is silent, or one has a move under way; else missing.
+    a chain that ends at a member without the file says nothing. What members say of an id meets in one row, so there is one shuffle however many hops. Else partial-view if an active member is silent, or one has a move under way; else missing.
     """
     m = members.select(F.col("name").alias("member"), (F.col("status") == "active").alias("active"), "answered")
-    fwd = latest_forward(moves)
-    holds = held.select("member", "id", F.lit(True).alias("holds")).distinct()
-    views = holds.join(fwd, ["member", "id"], "full").join(m, "member").where("answered").select("id", "member", "active", F.coalesce("holds", F.lit(False)).alias("holds"), "moved_to", "pending")
-    now = views.where("active")
-    q = queries.select("id", "home").distinct()
-    home = now.where("holds").select("id", F.col("member").alias("home"), F.lit(True).alias("at_home"))
-    direct = now.where("holds").groupBy("id").agg(F.min("member").alias("found"))
-    open_ = q.join(direct, "id", "left").where("found is null").select("id", "home")
-    chains = _follow(open_.join(now.where("not holds and moved_to is not null").select("id", "member", "moved_to"), "id"), views, members, most_hops)
-    verdict = chains.where("end <> 'dead'").groupBy("id").agg(F.min_by(F.struct("end", "dest"), "member").alias("c"))
-    moving = now.where("not holds and pending").select("id", F.lit(True).alias("moving")).distinct()
-    silent = members.where("status = 'active' and not answered").limit(1).select(F.lit(True).alias("silent"))
-    j = q.join(home, ["id", "home"], "left").join(direct, "id", "left").join(verdict, "id", "left").join(moving, "id", "left").join(F.broadcast(silent), F.lit(True), "left")
-    who = F.when(F.col("at_home"), F.col("home")).when(F.col("found").isNotNull(), F.col("found")).when(F.col("c.end") == "found", F.col("c.dest"))
-    outcome = F.when(who.eqNullSafe(F.col("home")) & who.isNotNull(), "found-at-home").when(who.isNotNull(), "found-elsewhere").when(F.col("c.end") == "partial", "partial-view").when(F.col("c.end") == "error", "error").when(F.coalesce("silent", F.lit(False)) | F.coalesce("moving", F.lit(False)), "partial-view").otherwise("missing")
+    known = members.agg(F.map_from_entries(F.collect_list(F.struct("name", "answered"))).alias("known"), F.coalesce(F.max((F.col("status") == "active") & ~F.col("answered")), F.lit(False)).alias("silent"))
+    seen = held.select("member", "id", F.lit(True).alias("holds"), F.lit(None).cast("string").alias("moved_to"), F.lit(False).alias("pending")).unionByName(latest_forward(moves).withColumn("holds", F.lit(False)))
+    views = seen.groupBy("id", "member").agg(F.max("holds").alias("holds"), F.max("moved_to").alias("moved_to"), F.max("pending").alias("pending")).join(F.broadcast(m), "member").where("answered")
+    by_id = views.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("member", F.struct("holds", "moved_to", "pending", "active")))).alias("views"))
+    j = queries.select("id", "home").distinct().join(by_id, "id", "left").join(F.broadcast(known), F.lit(True), "left")
+    j = j.withColumn("now", F.filter(F.array_sort(F.map_entries("views")), lambda e: e["value"]["active"]))
+    holders = F.transform(F.filter("now", lambda e: e["value"]["holds"]), lambda e: e["key"])
+    starts = F.filter("now", lambda e: ~e["value"]["holds"] & e["value"]["moved_to"].isNotNull())
+    chains = F.filter(F.transform(starts, lambda e: _chain(e, most_hops)), lambda c: c["end"] != "dead")
+    j = j.withColumn("direct", F.when(F.array_contains(holders, F.col("home")), F.col("home")).otherwise(F.get(holders, F.lit(0)))).withColumn("c", F.when(F.col("direct").isNull(), F.get(chains, F.lit(0))))
+    moving = F.exists("now", lambda e: ~e["value"]["holds"] & F.coalesce(e["value"]["pending"], F.lit(False)))
+    who = F.coalesce("direct", F.when(F.col("c.end") == "found", F.col("c.dest")))
+    outcome = F.when(who.isNotNull() & who.eqNullSafe(F.col("home")), "found-at-home").when(who.isNotNull(), "found-elsewhere").when(F.col("c.end") == "partial", "partial-view").when(F.col("c.end") == "error", "error").when(F.col("silent") | F.coalesce(moving, F.lit(False)), "partial-view").otherwise("missing")
     return j.select("id", outcome.alias("outcome"), who.alias("member"), F.when(F.col("c.end") == "partial", F.col("c.dest")).alias("pointer"))
 
 
-def _follow(starts: DataFrame, views: DataFrame, members: DataFrame, most_hops: int) -> DataFrame:
-    """id, member, dest, end of each chain: found, partial, error or dead. As many joins as hops, each on what is still open."""
-    known = members.select(F.col("name").alias("dest"), F.col("answered").alias("up"))
-    at = views.select("id", F.col("member").alias("dest"), F.col("holds").alias("there"), F.col("moved_to").alias("on"))
-    c = starts.select("id", "member", F.array("member").alias("seen"), F.col("moved_to").alias("dest"), F.lit(None).cast("string").alias("end"))
-    for hop in range(most_hops):
-        j = c.join(F.broadcast(known), "dest", "left").join(at, ["id", "dest"], "left")
-        end = F.when(F.col("end").isNotNull(), F.col("end")).when(F.array_contains("seen", F.col("dest")), "error").when(~F.coalesce("up", F.lit(False)), "partial").when(F.col("there"), "found").when(F.col("on").isNull(), "dead")
-        if hop == most_hops - 1:
-            end = F.coalesce(end, F.lit("error"))
-        c = j.select("id", "member", F.array_union("seen", F.array("dest")).alias("seen"), F.when(end.isNull(), F.col("on")).otherwise(F.col("dest")).alias("dest"), end.alias("end"))
-    return c
+def _chain(start: Column, most_hops: int) -> Column:
+    """Struct of dest and end of the chain that leaves an entry of the id's views: found, partial, error or dead. It stays in the row: a file's members are few."""
+    views, known = F.col("views"), F.col("known")
+
+    def hop(s: Column, _: Column) -> Column:
+        at = F.try_element_at(views, s["dest"])
+        end = F.when(s["end"].isNotNull(), s["end"]).when(F.array_contains(s["seen"], s["dest"]), "error").when(~F.coalesce(F.try_element_at(known, s["dest"]), F.lit(False)), "partial").when(at["holds"], "found").when(at["moved_to"].isNull(), "dead")
+        return F.struct(F.when(end.isNull(), at["moved_to"]).otherwise(s["dest"]).alias("dest"), F.concat(s["seen"], F.array(s["dest"])).alias("seen"), end.alias("end"))
+
+    zero = F.struct(start["value"]["moved_to"].alias("dest"), F.array(start["key"]).alias("seen"), F.lit(None).cast("string").alias("end"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most_hops)), zero, hop, lambda s: F.struct(s["dest"].alias("dest"), F.coalesce(s["end"], F.lit("error")).alias("end")))
 
 
 def heal(entries: DataFrame, resolved: DataFrame) -> DataFrame:
