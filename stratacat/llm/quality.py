@@ -7,7 +7,7 @@ from math import exp, lgamma, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacat.llm.common import WS, cut, let, table, words
+from stratacat.llm.common import WS, cut, let, sized, table, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -133,9 +133,9 @@ def estimates(measured: DataFrame, least: int = 200, steps: int = 4, half: float
     small = F.sum(F.when(F.col("n") < least, F.col("n")))
     pairs = measured.groupBy("lang", "source").agg(F.count_if(~F.col("q.base_failed")).alias("n")).withColumn("of_lang", small.over(Window.partitionBy("lang")))
     group = F.when(F.col("n") >= least, F.concat(F.lit("2"), text("lang"), text("source"))).when(F.col("of_lang") >= least, F.concat(F.lit("1"), text("lang"))).otherwise(F.lit("0"))
-    pairs = cut(pairs.select("lang", "source", "n", group.alias("group")))
+    pairs = sized(pairs.select("lang", "source", "n", group.alias("group")))
     p = pairs.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "group")
-    enough = pairs.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("group")
+    enough = sized(pairs.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("group"))
     rows = ok.join(p, ok["lang"].eqNullSafe(p["__l"]) & ok["source"].eqNullSafe(p["__s"])).drop("__l", "__s").join(enough, "group", "left_semi")
 
     quart = rows.groupBy("group").agg(*[F.percentile(F.round(f"x{i}", 3), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(P)])
@@ -154,14 +154,14 @@ def estimates(measured: DataFrame, least: int = 200, steps: int = 4, half: float
     best = est.groupBy("group").agg(F.min_by(F.struct("start", *EST), F.struct(F.round(det, 9), "start")).alias("e")).select("group", "e.*").drop("start")
     inside = F.col("bin") < F.lit(int(32 * log(chi2_quantile(0.975, P))))
     final = _fit(_binned(rows, best, ["group"]).where(inside), ["group"], _consistent(0.975))
-    return cut(pairs.join(final, "group", "left").select("lang", "source", *EST))
+    return sized(pairs.join(final, "group", "left").select("lang", "source", *EST))
 
 
 def judged(measured: DataFrame, est: DataFrame, tail: float = 1e-6) -> DataFrame:
     """measured with d2, the squared distance, and kept: passes the base rules and lies inside the ellipsoid that a normal vector leaves with probability tail.
 
     A row of a group without an estimate is kept if it passes the base rules; its d2 is null. Estimates have one row a pair of lang and source:
-    Spark broadcasts them where their size allows and else joins with skew splitting.
+    broadcast where their measured size allows, and else joined with Spark's skew splitting.
     """
     e = est.withColumnRenamed("lang", "__l").withColumnRenamed("source", "__s")
     d = measured.join(e, measured["lang"].eqNullSafe(e["__l"]) & measured["source"].eqNullSafe(e["__s"]), "left").drop("__l", "__s")
