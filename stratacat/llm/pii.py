@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -171,7 +170,3 @@ def op10(spark, sf_dir: str) -> DataFrame:
     text = lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))
     base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*BASE)), text), ",")
     return spans.select("doc_id", *map(of, BASE), F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"))
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()

@@ -278,7 +278,6 @@ def test_links_join_what_brute_force_joins(spark, crowd):
 
 def test_null_ids_and_none(spark):
     d = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "other words are here")], DOCS)
-
     assert {r.component_id for r in simhash.near_duplicates(d).collect()} == {5, None}
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
