@@ -35,7 +35,7 @@ def signature(roster: DataFrame, by: str | None = None) -> DataFrame:
 def divergent(rosters: DataFrame) -> DataFrame:
     """observer, divergent: whether an observer's copy says other than the merged roster."""
     one = signature(merge_rosters(rosters)).withColumnRenamed("signature", "merged")
-    return signature(rosters, "observer").join(F.broadcast(one), F.lit(True), "left").select("observer", (F.col("signature") != F.col("merged")).alias("divergent"))
+    return signature(rosters, "observer").join(one, F.lit(True), "left").select("observer", (F.col("signature") != F.col("merged")).alias("divergent"))
 
 
 def unregistered(roster: DataFrame, registry: DataFrame) -> DataFrame:
@@ -58,9 +58,9 @@ def resolve(queries: DataFrame, held: DataFrame, moves: DataFrame, members: Data
     m = members.select(F.col("name").alias("member"), (F.col("status") == "active").alias("active"), "answered")
     known = members.agg(F.map_from_entries(F.collect_list(F.struct("name", "answered"))).alias("known"), F.coalesce(F.max((F.col("status") == "active") & ~F.col("answered")), F.lit(False)).alias("silent"))
     seen = held.select("member", "id", F.lit(True).alias("holds"), F.lit(None).cast("string").alias("moved_to"), F.lit(False).alias("pending")).unionByName(latest_forward(moves).withColumn("holds", F.lit(False)))
-    views = seen.groupBy("id", "member").agg(F.max("holds").alias("holds"), F.max("moved_to").alias("moved_to"), F.max("pending").alias("pending")).join(F.broadcast(m), "member").where("answered")
+    views = seen.groupBy("id", "member").agg(F.max("holds").alias("holds"), F.max("moved_to").alias("moved_to"), F.max("pending").alias("pending")).join(m, "member").where("answered")
     by_id = views.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("member", F.struct("holds", "moved_to", "pending", "active")))).alias("views"))
-    j = queries.select("id", "home").distinct().join(by_id, "id", "left").join(F.broadcast(known), F.lit(True), "left")
+    j = queries.select("id", "home").distinct().join(by_id, "id", "left").join(known, F.lit(True), "left")
     j = j.withColumn("now", F.filter(F.array_sort(F.map_entries("views")), lambda e: e["value"]["active"]))
     holders = F.transform(F.filter("now", lambda e: e["value"]["holds"]), lambda e: e["key"])
     starts = F.filter("now", lambda e: ~e["value"]["holds"] & e["value"]["moved_to"].isNotNull())
@@ -96,11 +96,12 @@ def id_prefix(catalog: DataFrame, members: DataFrame, prefixes: DataFrame) -> Da
     """prefix, n_ids, verdict, id: found, ambiguous, missing, or partial-view where an active member is silent. Prefixes of one length meet ids by equality of that many characters."""
     up = catalog.join(members.where("answered").select(F.col("name").alias("member")), "member", "left_semi").select("id").distinct()
     p = prefixes.select("prefix", F.length("prefix").alias("n"))
-    keys = up.join(F.broadcast(p.select("n").distinct()), F.length("id") >= F.col("n")).select("id", F.expr("substring(id, 1, n)").alias("key"))
+    lengths = p.where("n between 1 and 64").select("n").distinct()  # 64 rows at most
+    keys = up.join(F.broadcast(lengths), F.length("id") >= F.col("n")).select("id", F.expr("substring(id, 1, n)").alias("key"))
     hits = p.join(keys, F.lower("prefix") == F.col("key"), "left").groupBy("prefix").agg(F.count("id").alias("n_ids"), F.min("id").alias("id"))
     silent = members.agg(F.coalesce(F.max((F.col("status") == "active") & ~F.col("answered")), F.lit(False)).alias("silent"))
     v = F.when(F.col("n_ids") == 1, "found").when(F.col("n_ids") > 1, "ambiguous").when(F.col("silent"), "partial-view").otherwise("missing")
-    return hits.join(F.broadcast(silent), F.lit(True), "left").select("prefix", "n_ids", v.alias("verdict"), F.when(F.col("n_ids") == 1, F.col("id")).alias("id"))
+    return hits.join(silent, F.lit(True), "left").select("prefix", "n_ids", v.alias("verdict"), F.when(F.col("n_ids") == 1, F.col("id")).alias("id"))
 
 
 def totals(catalog: DataFrame) -> DataFrame:
