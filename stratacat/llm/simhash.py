@@ -61,40 +61,46 @@ def _ball(key: Column, bits: int = 32, radius: int = 1) -> Column:
     return F.array(*out)
 
 
-def _upward(key: Column) -> Column:
-    """key, and key with one 0 bit set. Of two keys that differ in one bit exactly one reaches the other so, and each pair is met once."""
+def _upward(key: Column, offset: int) -> Column:
+    """key, and key with one 0 bit set, plus offset. Of two keys that differ in one bit exactly one reaches the other so, and each pair is met once."""
     bit = lambda i: F.lit(1 << i).cast("long")
-    return F.filter(F.array(key, *[F.when(key.bitwiseAND(bit(i)) == 0, key.bitwiseOR(bit(i))) for i in range(32)]), lambda k: k.isNotNull())
+    some = F.filter(F.array(key, *[F.when(key.bitwiseAND(bit(i)) == 0, key.bitwiseOR(bit(i))) for i in range(32)]), lambda k: k.isNotNull())
+    return F.transform(some, lambda k: k + F.lit(offset).cast("long"))
 
 
-def links(fps: DataFrame, crowd: int = 64) -> DataFrame:
-    """a, b: links between distinct fingerprints fp that differ in 1 to 3 bits, enough to join all that are so linked, and none besides.
+def links(fps: DataFrame, crowd: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """a, b, with the columns by: links between distinct fingerprints fp (of equal by) that differ in 1 to 3 bits, enough to join all that are so linked, and none besides.
 
     Multi-index hashing: of two 32-bit segments one differs in a bit at most. Each segment's table has the fingerprints by key; each fingerprint asks for
     the keys of the segment's ball of radius 1 (by set bits only, so that a pair meets once) and the whole distance is verified on what the table returns.
+    A row of either side is a fingerprint and a key, the second segment's plus 2 ** 32; what else is needed follows from the two.
     Keys with more than crowd fingerprints would return pairs by the square. There the other segment is searched around shared points x instead: residents
     come to each x within 2 bits, askers (one bit off in this segment) within 1, and where a resident within 1 bit stands at x, the smallest such links to all
     others at x: they are 3 bits off at most in all. Any pair within 3 bits meets at such an x, so its two ends are joined; rows are a fixed multiple of fingerprints.
     """
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    high = F.shiftrightunsigned("fp", 32)
-    seg = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), low.alias("key"), high.alias("rest")), F.struct(F.lit(1).alias("seg"), high.alias("key"), low.alias("rest")))).alias("s")).select("fp", "s.*")
-    asks = seg.select("fp", "seg", "rest", F.col("key").alias("own"), F.explode(_upward(F.col("key"))).alias("key"))
-    crowded = cut(seg.groupBy("seg", "key").count().where(F.col("count") > crowd).select("seg", "key"))
-    quiet = seg.join(crowded, ["seg", "key"], "left_anti")
-    t, p = quiet.alias("t"), asks.select("fp", "seg", "key", "own").alias("p")
-    near = F.bit_count(F.col("t.fp").bitwiseXOR(F.col("p.fp"))) <= RADIUS
-    once = (F.col("p.own") != F.col("p.key")) | (F.col("t.fp") < F.col("p.fp"))
-    pairs = t.join(p, (F.col("t.seg") == F.col("p.seg")) & (F.col("t.key") == F.col("p.key")) & once & near).select(F.col("t.fp").alias("a"), F.col("p.fp").alias("b"))
-    if not crowded.take(1):
+    on, second = [*by, "k"], 1 << 32
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    high = lambda c: F.shiftrightunsigned(c, 32)
+    own = lambda c, k: F.when(k >= second, high(c) + second).otherwise(low(c))
+    rest = lambda c, k: F.when(k >= second, low(c)).otherwise(high(c))
+    fp = F.col("fp")
+    homes = fps.select(*by, "fp", F.explode(F.array(low(fp), high(fp) + second)).alias("k"))
+    asks = fps.select(*by, "fp", F.explode(F.concat(_upward(low(fp), 0), _upward(high(fp), second))).alias("k"))
+    crowded = cut(homes.groupBy(*on).count().where(F.col("count") > crowd).select(*on))
+    any_crowd = bool(crowded.take(1))
+    quiet = (homes.join(crowded, on, "left_anti") if any_crowd else homes).withColumnRenamed("fp", "a")
+    met = quiet.join(asks.withColumnRenamed("fp", "b"), on)
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
+    pairs = met.where(near & ((own(F.col("b"), F.col("k")) != F.col("k")) | (F.col("a") < F.col("b")))).select(*by, "a", "b")
+    if not any_crowd:
         return pairs
-    home = seg.join(crowded, ["seg", "key"], "left_semi")
-    away = asks.where("own <> key").join(crowded, ["seg", "key"], "left_semi")
-    at = home.select("seg", "key", "fp", F.explode(_ball(F.col("rest"), 32, 2)).alias("x"), "rest").withColumn("d", F.bit_count(F.col("x").bitwiseXOR(F.col("rest")))).drop("rest")
-    at = at.unionByName(away.select("seg", "key", "fp", F.explode(_ball(F.col("rest"), 32, 1)).alias("x"), F.lit(2).alias("d")))
+    resident = homes.join(crowded, on, "left_semi").withColumn("rest", rest(fp, F.col("k")))
+    visitor = asks.where(own(fp, F.col("k")) != F.col("k")).join(crowded, on, "left_semi").withColumn("rest", rest(fp, F.col("k")))
+    at = resident.select(*on, "fp", F.explode(_ball(F.col("rest"), 32, 2)).alias("x"), "rest").withColumn("d", F.bit_count(F.col("x").bitwiseXOR(F.col("rest")))).drop("rest")
+    at = at.unionByName(visitor.select(*on, "fp", F.explode(_ball(F.col("rest"), 32, 1)).alias("x"), F.lit(2).alias("d")))
     host = F.min(F.when(F.col("d") <= 1, F.col("fp"))).alias("host")
-    hosts = at.groupBy("seg", "key", "x").agg(host, F.count("*").alias("n")).where("host is not null and n > 1").drop("n")
-    return pairs.union(at.join(hosts, ["seg", "key", "x"]).where("fp <> host").select(F.col("host").alias("a"), F.col("fp").alias("b")).distinct())
+    hosts = at.groupBy(*on, "x").agg(host, F.count("*").alias("n")).where("host is not null and n > 1").drop("n")
+    return pairs.union(at.join(hosts, [*on, "x"]).where("fp <> host").select(*by, F.col("host").alias("a"), F.col("fp").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -124,25 +130,11 @@ def shingle_set(text: Column, size: int) -> Column:
     return let(ws, lambda w: F.when(F.size(w) > 0, F.array_distinct(some(w))).otherwise(F.array().cast("array<long>")))
 
 
-def similar(docs: DataFrame, views: int = 4, size: int = 5, least: float = 0.8) -> DataFrame:
-    """a, b: text hashes of different texts of docs that SimHash finds near each other and whose shingle sets have a Jaccard similarity of least or more.
-
-    Three bits of 64 are few: of pairs at a similarity of 0.8, SimHash over shingles links one in six. So the fingerprints are taken over the distinct words, which an edit
-    changes less, in several views of independent hashes; each view's links (and, of one fingerprint's texts, each with the smallest) are candidates, and whole texts verify them.
-    """
+def verified(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of text hashes whose texts' shingle sets have a Jaccard similarity of least or more. Only texts that a pair names are read further."""
     k2 = F.xxhash64(docs["text"])
-    by_text = cut(map_batches(docs.select(k2.alias("doc_id"), docs["text"].alias("text")), lambda c: {"k2": c["doc_id"], "fps": [word_views(t, views) for t in c["text"]]}, "k2 long, fps array<long>").groupBy("k2").agg(F.first("fps").alias("fps")))
-    found = None
-    for v in range(views):
-        of = cut(by_text.groupBy(F.get("fps", F.lit(v)).alias("fp")).agg(F.min("k2").alias("least"), F.count("*").alias("n")))
-        near = cut(links(of.select("fp")))
-        ends = near.join(of.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
-        same = by_text.select("k2", F.get("fps", F.lit(v)).alias("fp")).join(of.where("n > 1"), "fp").where("k2 <> least").select(F.col("least").alias("x"), F.col("k2").alias("y"))
-        both = ends.union(same)
-        found = both if found is None else found.union(both)
-    pairs = cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("k2")).distinct())
-    texts = docs.select(k2.alias("k2"), docs["text"].alias("text")).join(sized(named), "k2", "left_semi").dropDuplicates(["k2"])
+    named = sized(pairs.select(F.explode(F.array("a", "b")).alias("k2")).distinct())
+    texts = docs.select(k2.alias("k2"), docs["text"].alias("text")).join(named, "k2", "left_semi").dropDuplicates(["k2"])
     sets = cut(texts.select("k2", shingle_set(F.col("text"), size).alias("s")))
     j = pairs.join(sets.select(F.col("k2").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k2").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -165,19 +157,37 @@ def word_views(text: str | None, views: int) -> list[int]:
     return out
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs, with its columns, and of each group of rows joined by equal texts or by links of `similar` one row: that of the smallest doc_id, ids before nulls.
+def keep_one(docs: DataFrame, views: int = 6, size: int = 5, least: float = 0.8) -> DataFrame:
+    """docs, with its columns, without rows that repeat the text of a row with a smaller doc_id, and without those that are near duplicates of one that stays; ids come before nulls.
 
+    Three bits of 64 are few: of pairs at a similarity of 0.8, SimHash over shingles links one in six. So fingerprints are taken over the distinct words, which an edit
+    changes less, in views of independent hashes, one after the other. In each view the links between fingerprints (and of one fingerprint's texts, each with the smallest) are
+    candidates; pairs whose shingle sets have a Jaccard similarity of least or more hold; of each component they make, the row of the smallest id goes on to the next view.
+    A crowd of near copies so shrinks to a few rows in the first view.
     Only hashes are grouped and joined: a row is its doc_id and its text's hash. What goes is a list of such pairs, broadcast where its measured size allows and else
-    joined by hash. Of rows that repeat id and text one stays. Null texts are equal to each other.
+    joined by hash. Of rows that repeat id and text one stays. Null texts are equal to each other, and no duplicates of others.
     """
     k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(docs["text"])
-    rows = cut(docs.select(k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("n")))
-    roots = components(similar(docs, **how))
-    groups = rows.join(roots, rows["k2"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "k2").alias("root"))
-    first = groups.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("first"))
-    gone = sized(groups.join(first, "root").where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
-    kept = docs.join(gone, (k1 == gone["__k1"]) & (k2 == gone["__k2"]), "left_anti")
+    seen = map_batches(docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text")), lambda c: {"k1": c["k1"], "k2": c["k2"], "fps": [word_views(t, views) for t in c["text"]]}, "k1 long, k2 long, fps array<long>")
+    rows = cut(seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("fps").alias("fps")))
+    now = cut(rows.groupBy("k2").agg(F.min("k1").alias("k1"), F.first("fps").alias("fps")))
+    stay = now.select("k1", "k2")
+    for v in range(views):
+        each = now.select("k2", F.get("fps", F.lit(v)).alias("fp"))
+        of = cut(each.groupBy("fp").agg(F.min("k2").alias("least"), F.count("*").alias("n")))
+        near = cut(links(of.select("fp")))
+        end = lambda c, to, of=of: of.select(F.col("fp").alias(c), F.col("least").alias(to))
+        same = each.join(of.where("n > 1"), "fp").where("k2 <> least").select(F.col("least").alias("x"), F.col("k2").alias("y"))
+        pairs = near.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y").union(same)
+        pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        roots = components(verified(docs, pairs, size, least))
+        of_root = roots.join(now.select(F.col("k2").alias("node"), "k1"), "node")
+        first = of_root.groupBy("root").agg(F.min(F.struct("k1", "node")).alias("first"))
+        gone = of_root.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("k2"))
+        now = cut(now.join(sized(gone), "k2", "left_anti"))
+        stay = now.select("k1", "k2")
+    lost = sized(rows.select("k1", "k2").join(stay, ["k1", "k2"], "left_anti").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
+    kept = docs.join(lost, (k1 == lost["__k1"]) & (k2 == lost["__k2"]), "left_anti")
     again = sized(rows.where("n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
     once = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"]), "left_anti")
     repeated = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"])).dropDuplicates(["__k1", "__k2"]).select(*docs.columns)

@@ -73,25 +73,23 @@ def keep_good(df, least=200):
 
 
 def keep_one(df):
-    texts = list(dict.fromkeys(df.text))
-    views = [simhash.word_views(t, 4) for t in texts]
-    sets = [set(zip(*[simhash.shingles(t, 1)[i:] for i in range(5)], strict=False)) or {tuple(simhash.shingles(t, 1))} for t in texts]
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if any(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in zip(views[i], views[j], strict=True)) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
-    of = {t: find(i) for i, t in enumerate(texts)}
-    first = {}
+    least = {}
     for d, t in sorted(zip(df.doc_id, df.text, strict=True)):
-        first.setdefault(of[t], d)
-    return df[[first[of[t]] == d for d, t in zip(df.doc_id, df.text, strict=True)]]
+        least.setdefault(t, d)
+    views = {t: simhash.word_views(t, 6) for t in least}
+    sets = {t: set(zip(*[simhash.shingles(t, 1)[i:] for i in range(5)], strict=False)) or {tuple(simhash.shingles(t, 1))} for t in least}
+    now = set(least)
+    for v in range(6):
+        group = {t: {t} for t in now}
+        for t in now:
+            for u in now:
+                near = t < u and ((views[t][v] ^ views[u][v]) & (1 << 64) - 1).bit_count() <= 3
+                if near and group[t] is not group[u] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]):
+                    group[t] |= group[u]
+                    for w in group[u]:
+                        group[w] = group[t]
+        now = {min(g, key=least.get) for g in group.values()}
+    return df[[t in now and least[t] == d for d, t in zip(df.doc_id, df.text, strict=True)]]
 
 
 def tokens(text):
