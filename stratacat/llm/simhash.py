@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -130,12 +131,8 @@ def shingle_set(text: Column, size: int) -> Column:
     return let(ws, lambda w: F.when(F.size(w) > 0, F.array_distinct(some(w))).otherwise(F.array().cast("array<long>")))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose texts' shingle sets have a Jaccard similarity of least or more. Only texts that a pair names are read further."""
-    k2 = F.xxhash64(docs["text"])
-    named = sized(pairs.select(F.explode(F.array("a", "b")).alias("k2")).distinct())
-    texts = docs.select(k2.alias("k2"), docs["text"].alias("text")).join(named, "k2", "left_semi").dropDuplicates(["k2"])
-    sets = cut(texts.select("k2", shingle_set(F.col("text"), size).alias("s")))
+def verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of text hashes whose texts' shingle sets (k2, s) have a Jaccard similarity of least or more."""
     j = pairs.join(sets.select(F.col("k2").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k2").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return j.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).where(shared > 0).select("a", "b")
@@ -157,35 +154,166 @@ def word_views(text: str | None, views: int) -> list[int]:
     return out
 
 
-def keep_one(docs: DataFrame, views: int = 6, size: int = 5, least: float = 0.8) -> DataFrame:
-    """docs, with its columns, without rows that repeat the text of a row with a smaller doc_id, and without those that are near duplicates of one that stays; ids come before nulls.
+def _shingle_hashes(text: str | None, size: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes, combined from the hashes of their words."""
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(memo) > 1 << 20:
+        memo.clear()
+    for w in set(ws):
+        if w not in memo:
+            memo[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.array([memo[w] for w in ws], dtype=np.uint64)
+    n = max(len(ws) - size + 1, min(len(ws), 1))
+    x, m = np.zeros(n, dtype=np.uint64), 0x9E3779B97F4A7C15
+    for k in range(min(size, len(ws))):
+        x += h[k : k + n] * np.uint64(m)
+        m = (m * 0xBF58476D1CE4E5B9 | 1) & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.unique((x ^ (x >> np.uint64(29))).view(np.int64))
 
-    Three bits of 64 are few: of pairs at a similarity of 0.8, SimHash over shingles links one in six. So fingerprints are taken over the distinct words, which an edit
-    changes less, in views of independent hashes, one after the other. In each view the links between fingerprints (and of one fingerprint's texts, each with the smallest) are
-    candidates; pairs whose shingle sets have a Jaccard similarity of least or more hold; of each component they make, the row of the smallest id goes on to the next view.
-    A crowd of near copies so shrinks to a few rows in the first view.
+
+def _to_share(least: float, n):
+    """Of n shingles, how many a text of similarity least or more has in common."""
+    return np.ceil(least * n - 1e-9).astype(np.int64)
+
+
+def prefixes(docs: DataFrame, size: int, least: float, one_in: int = 16, often: int = 4, most: int = 1 << 16) -> DataFrame:
+    """k, k2, n, at: of each text (text, and its hash k2) the shingles k of its prefix, with the number of its shingles and the place in the prefix.
+
+    In any one order of all shingles, two texts of similarity least or more share a shingle among the first n - ceil(least * n) + 1 of each. The order affects the
+    work only: shingles that are frequent in a sample of texts come last, most frequent at the end. At most `most` of those are brought to the driver.
+    """
+    memo: dict[bytes, int] = {}
+    some = map_batches(docs.where(F.pmod("k2", F.lit(one_in)) == 0), lambda c: {"k": np.concatenate([_shingle_hashes(t, size, memo) for t in c["text"]])}, "k long")
+    top = some.groupBy("k").count().where(F.col("count") >= often).orderBy(F.desc("count"), "k").limit(most).collect()
+    by_value = sorted((r[0], len(top) - i) for i, r in enumerate(top))
+    frequent, rank = np.array([k for k, _ in by_value], dtype=np.int64), np.array([r for _, r in by_value], dtype=np.int64)
+    seen: set[int] = set()  # of a task: copies are met once
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        out = {"k": [np.zeros(0, np.int64)], "k2": [np.zeros(0, np.int64)], "n": [np.zeros(0, np.int64)], "at": [np.zeros(0, np.int64)]}
+        for k2, t in zip(c["k2"], c["text"], strict=True):
+            if k2 in seen:
+                continue
+            if len(seen) > 1 << 20:
+                seen.clear()
+            seen.add(k2)
+            x = _shingle_hashes(t, size, memo)
+            if not len(x):
+                continue
+            p = len(x) - int(_to_share(least, len(x))) + 1
+            if len(frequent):
+                i = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
+                x = x[np.argsort(np.where(frequent[i] == x, rank[i], 0), kind="stable")]
+            for name, v in (("k", x[:p]), ("k2", np.full(p, k2)), ("n", np.full(p, len(x))), ("at", np.arange(p))):
+                out[name].append(v)
+        return {name: np.concatenate(v) for name, v in out.items()}
+
+    return map_batches(docs, run, "k long, k2 long, n long, at long")
+
+
+def candidates(posts: DataFrame, least: float, crowd: int = 32) -> DataFrame:
+    """a, b, crowded: pairs of text hashes that share a prefix shingle and whose sizes and places allow the similarity; of shingles with more than crowd texts the shingle and each text.
+
+    A pair has to meet at its first common shingle only; from there on each text has as many shingles as follow, and no more can be shared. Rows come sorted by shingle.
+    """
+    import pyarrow as pa
+
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("crowded", pa.bool_())])
+
+    def met(rows: np.ndarray) -> Iterator[tuple]:
+        """rows: sorted (k, k2, n, at) of whole shingles."""
+        rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
+        sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]), len(rows)])
+        size = np.repeat(sizes, sizes)
+        many = rows[size > crowd]
+        yield many[:, 0], many[:, 1], True
+        rows, size = rows[(size > 1) & (size <= crowd)], size[(size > 1) & (size <= crowd)]
+        for d in range(1, min(crowd, len(rows))):
+            x, y = rows[:-d], rows[d:]
+            ok = (x[:, 0] == y[:, 0]) & (np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= _to_share(least / (1 + least), x[:, 2] + y[:, 2]))
+            yield x[ok, 1], y[ok, 1], False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        for b in chain(batches, [None]):
+            new = np.zeros((0, 4), np.int64) if b is None else np.column_stack([c.to_numpy() for c in b.columns])
+            if b is not None and (not len(new) or waiting and waiting[0][0, 0] == new[-1, 0]):
+                waiting += [new] if len(new) else []
+                continue
+            whole = np.concatenate([*waiting, new])
+            at = len(whole) if b is None else int(np.searchsorted(whole[:, 0], whole[-1, 0]))
+            waiting = [whole[at:]]
+            for x, y, crowded in met(whole[:at]) if at else ():
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"a": x, "b": y, "crowded": np.full(len(x), crowded)}, schema=out)
+
+    found = posts.select("k", "k2", "n", "at").repartition("k").sortWithinPartitions("k", "k2").mapInArrow(run, "a long, b long, crowded boolean")
+    return found.distinct()
+
+
+def joined(sets: DataFrame, crowds: DataFrame, least: float) -> DataFrame:
+    """a, b: links that join, in each crowd k of text hashes k2, all texts that pairs of similarity least or more within the crowd join.
+
+    Each text is compared to those that nothing has reached yet, so a crowd of near copies takes one comparison a text or little more.
+    """
+
+    def run(c):
+        import pandas as pd
+
+        ids, each = c["k2"].to_numpy(), [np.asarray(s) for s in c["s"]]
+        flat, lens, left, out = np.unique(np.concatenate(each), return_inverse=True)[1], np.array([len(s) for s in each]), np.arange(len(ids)), []
+        ends = np.cumsum(lens)
+        of = [flat[e - n : e] for e, n in zip(ends, lens, strict=True)]
+        marked = np.zeros(flat.max() + 1, dtype=np.int32)
+        reached: list[int] = []
+        root = -1
+        while len(left):
+            if not reached:
+                root = left[0]
+                reached, left, flat, lens = [root], left[1:], flat[lens[0] :], lens[1:]
+                continue
+            x = reached.pop()
+            marked[of[x]] = 1
+            shared = np.add.reduceat(marked[flat], np.cumsum(lens) - lens)
+            marked[of[x]] = 0
+            near = shared >= least * (len(of[x]) + lens - shared)
+            if near.any():
+                new = left[near]
+                reached += new.tolist()
+                out += [(ids[root], ids[i]) for i in new]
+                left, flat, lens = left[~near], flat[np.repeat(~near, lens)], lens[~near]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return crowds.join(sets, "k2").select("k", "k2", "s").groupBy("k").applyInPandas(run, "a long, b long")
+
+
+def near_links(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 32) -> DataFrame:
+    """a, b: pairs of text hashes whose texts' shingle sets have a Jaccard similarity of least or more, enough to join all that such pairs join. Exact: see prefixes."""
+    d = docs.select(F.xxhash64(docs["text"]).alias("k2"), docs["text"].alias("text"))
+    met = cut(candidates(prefixes(d, size, least), least, crowd))
+    pairs, crowds = met.where(~F.col("crowded")).select("a", "b"), met.where("crowded").select(F.col("a").alias("k"), F.col("b").alias("k2"))
+    named = sized(pairs.select(F.explode(F.array("a", "b")).alias("k2")).union(crowds.select("k2")).distinct())
+    sets = cut(d.join(named, "k2", "left_semi").dropDuplicates(["k2"]).select("k2", shingle_set(F.col("text"), size).alias("s")))
+    return verified(sets, pairs, least).union(joined(sets, crowds, least))
+
+
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 32) -> DataFrame:
+    """docs, with its columns, without rows that repeat the text of a row with a smaller doc_id, and of each group of near duplicates the row with the smallest; ids come before nulls.
+
+    Near duplicates are texts whose shingle sets have a Jaccard similarity of least or more; a group is what such pairs join. All of them are found: SimHash misses pairs at
+    0.8 (one in three of 15 to 29 words in six views), so the candidates are those that share a shingle of their prefixes, and all are verified.
     Only hashes are grouped and joined: a row is its doc_id and its text's hash. What goes is a list of such pairs, broadcast where its measured size allows and else
     joined by hash. Of rows that repeat id and text one stays. Null texts are equal to each other, and no duplicates of others.
     """
     k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(docs["text"])
-    seen = map_batches(docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text")), lambda c: {"k1": c["k1"], "k2": c["k2"], "fps": [word_views(t, views) for t in c["text"]]}, "k1 long, k2 long, fps array<long>")
-    rows = cut(seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("fps").alias("fps")))
-    now = cut(rows.groupBy("k2").agg(F.min("k1").alias("k1"), F.first("fps").alias("fps")))
-    stay = now.select("k1", "k2")
-    for v in range(views):
-        each = now.select("k2", F.get("fps", F.lit(v)).alias("fp"))
-        of = cut(each.groupBy("fp").agg(F.min("k2").alias("least"), F.count("*").alias("n")))
-        near = cut(links(of.select("fp")))
-        end = lambda c, to, of=of: of.select(F.col("fp").alias(c), F.col("least").alias(to))
-        same = each.join(of.where("n > 1"), "fp").where("k2 <> least").select(F.col("least").alias("x"), F.col("k2").alias("y"))
-        pairs = near.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y").union(same)
-        pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        roots = components(verified(docs, pairs, size, least))
-        of_root = roots.join(now.select(F.col("k2").alias("node"), "k1"), "node")
-        first = of_root.groupBy("root").agg(F.min(F.struct("k1", "node")).alias("first"))
-        gone = of_root.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("k2"))
-        now = cut(now.join(sized(gone), "k2", "left_anti"))
-        stay = now.select("k1", "k2")
+    rows = cut(docs.groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.count("*").alias("n")))
+    now = rows.groupBy("k2").agg(F.min("k1").alias("k1"))
+    roots = components(near_links(docs, size, least, crowd))
+    of_root = cut(roots.join(now.select(F.col("k2").alias("node"), "k1"), "node"))
+    first = of_root.groupBy("root").agg(F.min(F.struct("k1", "node")).alias("first"))
+    gone = of_root.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("k2"))
+    stay = now.join(sized(gone), "k2", "left_anti").select("k1", "k2")
     lost = sized(rows.select("k1", "k2").join(stay, ["k1", "k2"], "left_anti").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
     kept = docs.join(lost, (k1 == lost["__k1"]) & (k2 == lost["__k2"]), "left_anti")
     again = sized(rows.where("n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))

@@ -301,6 +301,72 @@ def test_keep_one(spark):
     assert simhash.keep_one(d.limit(0)).count() == 0
 
 
+def plain_near(texts, least=0.8):
+    """Indices of the texts that stay, by all pairs, and the pairs."""
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if len(grams[i] & grams[j]) >= least * len(grams[i] | grams[j])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return {i for i in root if root[i] == i}, pairs
+
+
+def kept_ids(spark, texts, **how):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.keep_one(d, **how).collect()}
+
+
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_keep_one_compares_beside_an_unrelated_text_of_the_same_words(spark, crowd):
+    rng = random.Random(15)
+    ws = [f"word{i}" for i in range(120)]
+    near = ws[:60] + [ws[61], ws[60]] + ws[62:]
+    texts = [" ".join(ws), " ".join(near)] + [" ".join(rng.sample(ws, 120)) for _ in range(40)]
+    want, pairs = plain_near(texts)
+    assert pairs == [(0, 1)] and kept_ids(spark, texts, crowd=crowd) == want
+
+
+def edited(rng, ws, n):
+    ws = list(ws)
+    for i in rng.sample(range(len(ws)), n):
+        ws[i] = f"new{rng.randrange(10**9)}"
+    return ws
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 32])
+def test_keep_one_keeps_one_of_a_chain(spark, crowd):
+    rng = random.Random(16)
+    texts = []
+    for _ in range(30):
+        ws = [f"word{rng.randrange(10**9)}" for _ in range(60)]
+        for _ in range(8):
+            texts.append(" ".join(ws))
+            ws = edited(rng, ws, 1)
+    rng.shuffle(texts)
+    want, _ = plain_near(texts)
+    assert len(want) == 30 and kept_ids(spark, texts, crowd=crowd) == want
+
+
+@pytest.mark.parametrize("lengths", [(5, 14), (15, 29), (30, 59), (60, 149), (150, 400)])
+def test_keep_one_finds_every_pair_whatever_the_length(spark, lengths):
+    rng = random.Random(17)
+    texts = []
+    for _ in range(120):
+        ws = [f"word{rng.randrange(10**9)}" for _ in range(rng.randint(*lengths))]
+        texts += [" ".join(ws), " ".join(edited(rng, ws, max(1, len(ws) // 45)) if lengths[0] >= 15 else [*ws, "more"])]
+    want, pairs = plain_near(texts)
+    assert len(pairs) >= 10 and kept_ids(spark, texts) == want
+
+
+def test_keep_one_of_many_copies(spark):
+    rng = random.Random(18)
+    ws = [f"word{rng.randrange(10**9)}" for _ in range(80)]
+    texts = [" ".join(edited(rng, ws, rng.randrange(4))) for _ in range(400)]
+    want, pairs = plain_near(texts)
+    assert len(pairs) < 400 * 399 // 2 and kept_ids(spark, texts) == want
+
+
 # chats
 
 
