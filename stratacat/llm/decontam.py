@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import cache, reduce
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratacat.llm.common import let, sized, table
 
-#: Offsets of the six tokens that a seed compares. The second ignores one between two threes, so a substitution in every fourth token or fewer leaves a hit of one of them.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6))
-SPAN = 1 + max(max(m) for m in MASKS)
+
+@cache
+def masks(window: int, need: int, most: int = 3) -> tuple[tuple[int, ...], ...]:
+    """Offsets of the tokens that seeds compare, so that wherever need of window tokens in a row are equal, some mask lies on equal ones only.
+
+    At most `most` masks of the greatest weight for which a greedy choice covers every placement of the unequal tokens; wide windows take the run that always stays whole.
+    """
+    odd = window - need
+    if window > 16:
+        return (tuple(range(window // (odd + 1))),)
+    places = [sum(1 << i for i in c) for c in combinations(range(window), odd)]
+    for weight in range(need, 0, -1):
+        options = [(0, *c) for c in combinations(range(1, window), weight - 1)]
+        bits = [sum(1 << i for i in m) for m in options]
+        hit = [sum(1 << n for n, p in enumerate(places) if any(not p & b << s for s in range(window - m[-1]))) for m, b in zip(options, bits, strict=True)]
+        left, out = (1 << len(places)) - 1, []
+        while left and len(out) < most:
+            best = max(range(len(options)), key=lambda i: ((hit[i] & left).bit_count(), -options[i][-1]))
+            left &= ~hit[best]
+            out.append(options[best])
+        if not left:
+            return tuple(out)
+    raise ValueError("need is at least 1")
 
 
 def tokens(text: Column) -> Column:
@@ -18,12 +43,13 @@ def tokens(text: Column) -> Column:
     return F.transform(runs, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, keep: list[str], tokens_of: str) -> DataFrame:
-    """keep, at, seed: each mask's hash at each token where it fits. The mask's number is hashed too."""
+def _seeds(df: DataFrame, keep: list[str], tokens_of: str, seeds: Sequence[tuple[int, ...]]) -> DataFrame:
+    """keep, at, seed: each mask's hash at each token where it fits. The mask is hashed too."""
     n = F.size(tokens_of)
-    shifted = [F.slice(tokens_of, F.lit(k + 1), F.greatest(n - k, F.lit(0))) for k in range(SPAN)]
-    rows = df.where(n > min(max(m) for m in MASKS)).select(*keep, F.posexplode(F.arrays_zip(*[s.alias(f"t{k}") for k, s in enumerate(shifted)])).alias("at", "t"))
-    each = [F.when(F.col(f"t.t{max(m)}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"t.t{k}") for k in m])) for i, m in enumerate(MASKS)]
+    used = sorted({k for m in seeds for k in m})
+    shifted = [F.slice(tokens_of, F.lit(k + 1), F.greatest(n - k, F.lit(0))).alias(f"t{k}") for k in used]
+    rows = df.where(n > min(max(m) for m in seeds)).select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("at", "t"))
+    each = [F.when(F.col(f"t.t{max(m)}").isNotNull(), F.xxhash64(F.lit(str(m)), *[F.col(f"t.t{k}") for k in m])) for m in seeds]
     return rows.select(*keep, "at", F.explode(F.array(*each)).alias("seed")).where("seed is not null")
 
 
@@ -32,18 +58,21 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
 
     Hits of equal seeds put an item beside a text; along that alignment each token of the item is compared, and the pair stays if some min(window, item's tokens)
     tokens in a row have at least the share (rounded up) equal. begin: the token of the text at which the item's first would stand, of the alignment with most matches, first of equals.
-    An item of fewer than 6 tokens has no seed and gives no pair; null texts have no tokens. Rows without an id are told apart by their text's hash.
+    An item's seeds are those of its window, chosen so that no pair that meets the share is without a hit, down to items of one token; texts take the seeds of all windows that occur.
+    Null texts have no tokens. Rows without an id are told apart by their text's hash.
     The items' seeds and the found alignments are broadcast where their measured size allows; texts are never shuffled then. Beyond it Spark joins by hash.
     """
     b = sized(items.select(items["item_id"].alias("item_id"), tokens(items["text"]).alias("b")).where(F.size("b") > 0))
-    b_seeds = sized(_seeds(b, ["item_id"], "b").withColumnRenamed("at", "b_at").distinct())
+    w = F.least(F.lit(window), F.size("b"))
+    by_window = {r[0]: masks(r[0], max(1, ceil(share * r[0]))) for r in b.select(w).distinct().collect()} or {window: masks(window, max(1, ceil(share * window)))}
+    each = [_seeds(b.where(w == n), ["item_id"], "b", m) for n, m in sorted(by_window.items())]
+    b_seeds = sized(reduce(DataFrame.union, each).withColumnRenamed("at", "b_at").distinct())
     k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(docs["text"])
     d = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
-    hits = _seeds(d.select("k1", "k2", tokens(F.col("text")).alias("d")), ["k1", "k2"], "d").join(b_seeds, "seed")
+    hits = _seeds(d.select("k1", "k2", tokens(F.col("text")).alias("d")), ["k1", "k2"], "d", sorted(set().union(*by_window.values()))).join(b_seeds, "seed")
     beside = sized(hits.select("k1", "k2", "item_id", (F.col("at") - F.col("b_at")).alias("begin")).distinct())
     pairs = d.join(beside, ["k1", "k2"]).join(b, "item_id").select("k1", "k2", "item_id", "begin", "b", tokens(F.col("text")).alias("d"))
     same = F.transform("b", lambda x, j: F.when((F.col("begin") + j >= 0) & F.coalesce(F.get("d", F.greatest(F.col("begin") + j, F.lit(0))) == x, F.lit(False)), 1).otherwise(0))
-    w = F.least(F.lit(window), F.size("b"))
     most = let(same, lambda s: F.struct(F.aggregate(s, F.lit(0), lambda a, x: a + x).alias("all"), F.array_max(F.transform(F.sequence(F.lit(1), F.size(s) - w + 1), lambda i: F.aggregate(F.slice(s, i, w), F.lit(0), lambda a, x: a + x))).alias("run")))
     found = pairs.select("k1", "k2", "item_id", "begin", F.size("b").alias("n_tokens"), w.alias("w"), most.alias("m")).where(F.col("m.run") >= F.ceil(share * F.col("w")))
     best = F.max_by(F.struct("begin", F.col("m.all").alias("n_matched"), "n_tokens"), F.struct(F.col("m.all"), -F.col("begin")))

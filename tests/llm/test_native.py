@@ -134,6 +134,30 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, [None, ""])).count() == 0
 
 
+def test_leaks_equal_every_alignment_without_seeds(spark):
+    rng = random.Random(19)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items, texts = [], []
+    for n in range(1, 15):
+        for _ in range(6):
+            b = [word() for _ in range(n)]
+            t = list(b)
+            for i in rng.sample(range(n), min(n, 13) - -(-3 * min(n, 13) // 4)):
+                t[i] = word()
+            items.append(b)
+            texts += [[word() for _ in range(5)] + t + [word() for _ in range(4)], t, t[1:]]
+    want = set()
+    for k, b in enumerate(items):
+        n = min(13, len(b))
+        for i, d in enumerate(texts):
+            for g in range(1 - len(b), len(d)) if set(b) & set(d) else ():
+                same = [0 <= g + j < len(d) and d[g + j] == x for j, x in enumerate(b)]
+                if max(sum(same[s : s + n]) for s in range(len(b) - n + 1)) >= 0.75 * n:
+                    want.add((i, k))
+    found = decontam.leaks(docs(spark, [" ".join(t) for t in texts]), spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(items)], "item_id int, text string"))
+    assert {(r.k1, r.item_id) for r in found.collect()} == want and len(want) >= 2 * len(items)
+
+
 @pytest.mark.parametrize("name", ["op4_url_cascade", "op7_spaced_seed_leaks", "op8_chat_round_trip", "op9_mix_sources"])
 def test_equals_oracle(spark, name):
     from stratacat.llm.queries import ORACLES, QUERIES
