@@ -213,7 +213,7 @@ def prefixes(docs: DataFrame, size: int, least: float, one_in: int = 16, often:
 
 
 def candidates(posts: DataFrame, least: float, crowd: int = 32) -> DataFrame:
-    """a, b, crowded: pairs of text hashes that share a prefix shingle and whose sizes and places allow the similarity; of shingles with more than crowd texts the shingle and each text.
+    """a, b, crowded: pairs of text hashes that share a prefix shingle and whose sizes and places allow the similarity; of shingles with more than crowd / 2 such pairs a text the shingle and each text.
 
     A pair has to meet at its first common shingle only; from there on each text has as many shingles as follow, and no more can be shared. Rows come sorted by shingle.
     """
@@ -224,15 +224,25 @@ def candidates(posts: DataFrame, least: float, crowd: int = 32) -> DataFrame:
     def met(rows: np.ndarray) -> Iterator[tuple]:
         """rows: sorted (k, k2, n, at) of whole shingles."""
         rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
         sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]), len(rows)])
-        size = np.repeat(sizes, sizes)
-        many = rows[size > crowd]
+        group, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+        fit, found, at, d = np.zeros(len(sizes), np.int64), [], np.flatnonzero(size > 1), 0
+        while len(at):  # each text with the one d places on: of the same shingle and no smaller
+            d += 1
+            at = at[at + d < len(rows)]
+            x, y = rows[at], rows[at + d]
+            go = (x[:, 0] == y[:, 0]) & (x[:, 2] >= _to_share(least, y[:, 2])) & (2 * fit[group[at]] <= crowd * size[at])
+            at, x, y = at[go], x[go], y[go]
+            ok = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= _to_share(least / (1 + least), x[:, 2] + y[:, 2])
+            found.append(np.column_stack([x[ok, 1], y[ok, 1], group[at[ok]]]))
+            fit += np.bincount(group[at[ok]], minlength=len(sizes))
+        crowded = 2 * fit > crowd * sizes
+        many = rows[crowded[group]]
         yield many[:, 0], many[:, 1], True
-        rows, size = rows[(size > 1) & (size <= crowd)], size[(size > 1) & (size <= crowd)]
-        for d in range(1, min(crowd, len(rows))):
-            x, y = rows[:-d], rows[d:]
-            ok = (x[:, 0] == y[:, 0]) & (np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= _to_share(least / (1 + least), x[:, 2] + y[:, 2]))
-            yield x[ok, 1], y[ok, 1], False
+        for f in found:
+            few = f[~crowded[f[:, 2]]]
+            yield few[:, 0], few[:, 1], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
