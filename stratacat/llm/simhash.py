@@ -131,13 +131,6 @@ def shingle_set(text: Column, size: int) -> Column:
     return let(ws, lambda w: F.when(F.size(w) > 0, F.array_distinct(some(w))).otherwise(F.array().cast("array<long>")))
 
 
-def verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose texts' shingle sets (k2, s) have a Jaccard similarity of least or more."""
-    j = pairs.join(sets.select(F.col("k2").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k2").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return j.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).where(shared > 0).select("a", "b")
-
-
 def word_views(text: str | None, views: int) -> list[int]:
     """Fingerprints of the distinct words, one for each view."""
     ws = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
@@ -212,14 +205,15 @@ def prefixes(docs: DataFrame, size: int, least: float, one_in: int = 16, often:
     return map_batches(docs, run, "k long, k2 long, n long, at long")
 
 
-def candidates(posts: DataFrame, least: float, crowd: int = 32) -> DataFrame:
-    """a, b, crowded: pairs of text hashes that share a prefix shingle and whose sizes and places allow the similarity; of shingles with more than crowd / 2 such pairs a text the shingle and each text.
+def candidates(posts: DataFrame, least: float, crowd: int = 128) -> DataFrame:
+    """a, b, crowded: pairs of text hashes that may be similar by the shingles of their prefixes; of shingles with more than crowd / 2 pairs a text of fitting sizes the shingle and each text.
 
-    A pair has to meet at its first common shingle only; from there on each text has as many shingles as follow, and no more can be shared. Rows come sorted by shingle.
+    Two bounds hold for every similar pair. From its first common shingle on, each text has as many shingles left as are shared (fit). And beyond the prefix that ends first no more than
+    ceil(least * n) - 1 shingles follow, n of the larger, so the prefixes have at least the rest of what is shared in common (need). A pair with a crowded shingle is compared in that crowd.
     """
     import pyarrow as pa
 
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("crowded", pa.bool_())])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("crowded", pa.bool_()), ("fit", pa.bool_()), ("need", pa.int64())])
 
     def met(rows: np.ndarray) -> Iterator[tuple]:
         """rows: sorted (k, k2, n, at) of whole shingles."""
@@ -234,15 +228,16 @@ def candidates(posts: DataFrame, least: float, crowd: int = 32) -> DataFrame:
             x, y = rows[at], rows[at + d]
             go = (x[:, 0] == y[:, 0]) & (x[:, 2] >= _to_share(least, y[:, 2])) & (2 * fit[group[at]] <= crowd * size[at])
             at, x, y = at[go], x[go], y[go]
-            ok = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= _to_share(least / (1 + least), x[:, 2] + y[:, 2])
-            found.append(np.column_stack([x[ok, 1], y[ok, 1], group[at[ok]]]))
-            fit += np.bincount(group[at[ok]], minlength=len(sizes))
+            all_of = _to_share(least / (1 + least), x[:, 2] + y[:, 2])
+            ok = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= all_of
+            found.append((x[:, 1], y[:, 1], group[at], ok, all_of - _to_share(least, y[:, 2]) + 1))
+            fit += np.bincount(group[at], minlength=len(sizes))
         crowded = 2 * fit > crowd * sizes
         many = rows[crowded[group]]
-        yield many[:, 0], many[:, 1], True
-        for f in found:
-            few = f[~crowded[f[:, 2]]]
-            yield few[:, 0], few[:, 1], False
+        yield many[:, 0], many[:, 1], True, np.ones(len(many), bool), np.zeros(len(many), np.int64)
+        for x, y, g, ok, need in found:
+            few = ~crowded[g]
+            yield x[few], y[few], False, ok[few], need[few]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -254,18 +249,19 @@ def candidates(posts: DataFrame, least: float, crowd: int = 32) -> DataFrame:
             whole = np.concatenate([*waiting, new])
             at = len(whole) if b is None else int(np.searchsorted(whole[:, 0], whole[-1, 0]))
             waiting = [whole[at:]]
-            for x, y, crowded in met(whole[:at]) if at else ():
+            for x, y, crowded, ok, need in met(whole[:at]) if at else ():
                 if len(x):
-                    yield pa.RecordBatch.from_pydict({"a": x, "b": y, "crowded": np.full(len(x), crowded)}, schema=out)
+                    yield pa.RecordBatch.from_pydict({"a": x, "b": y, "crowded": np.full(len(x), crowded), "fit": ok, "need": need}, schema=out)
 
-    found = posts.select("k", "k2", "n", "at").repartition("k").sortWithinPartitions("k", "k2").mapInArrow(run, "a long, b long, crowded boolean")
-    return found.distinct()
+    found = posts.select("k", "k2", "n", "at").repartition("k").sortWithinPartitions("k", "k2").mapInArrow(run, "a long, b long, crowded boolean, fit boolean, need long")
+    each = found.groupBy("a", "b", "crowded").agg(F.max("fit").alias("fit"), F.max("need").alias("need"), F.count("*").alias("n"))
+    return each.where(F.col("fit") & (F.col("n") >= F.col("need"))).select("a", "b", "crowded")
 
 
-def joined(sets: DataFrame, crowds: DataFrame, least: float) -> DataFrame:
-    """a, b: links that join, in each crowd k of text hashes k2, all texts that pairs of similarity least or more within the crowd join.
+def joined(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """a, b: links that join, in each group (root) of text hashes k2, all texts that pairs of similarity least or more join. sets: k2 and the shingles s.
 
-    Each text is compared to those that nothing has reached yet, so a crowd of near copies takes one comparison a text or little more.
+    Each text is compared to those that nothing has reached yet, so a group of near copies takes one comparison a text or little more, and no rows for pairs. A group is one task's.
     """
 
     def run(c):
@@ -295,20 +291,21 @@ def joined(sets: DataFrame, crowds: DataFrame, least: float) -> DataFrame:
                 left, flat, lens = left[~near], flat[np.repeat(~near, lens)], lens[~near]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return crowds.join(sets, "k2").select("k", "k2", "s").groupBy("k").applyInPandas(run, "a long, b long")
+    return groups.join(sets, "k2").select("root", "k2", "s").groupBy("root").applyInPandas(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 32) -> DataFrame:
+def near_links(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128) -> DataFrame:
     """a, b: pairs of text hashes whose texts' shingle sets have a Jaccard similarity of least or more, enough to join all that such pairs join. Exact: see prefixes."""
     d = docs.select(F.xxhash64(docs["text"]).alias("k2"), docs["text"].alias("text"))
     met = cut(candidates(prefixes(d, size, least), least, crowd))
-    pairs, crowds = met.where(~F.col("crowded")).select("a", "b"), met.where("crowded").select(F.col("a").alias("k"), F.col("b").alias("k2"))
-    named = sized(pairs.select(F.explode(F.array("a", "b")).alias("k2")).union(crowds.select("k2")).distinct())
-    sets = cut(d.join(named, "k2", "left_semi").dropDuplicates(["k2"]).select("k2", shingle_set(F.col("text"), size).alias("s")))
-    return verified(sets, pairs, least).union(joined(sets, crowds, least))
+    pairs, crowds = met.where(~F.col("crowded")).select("a", "b"), met.where("crowded")
+    stars = crowds.join(crowds.groupBy("a").agg(F.min("b").alias("least")), "a").select(F.col("least").alias("a"), "b")
+    roots = cut(components(pairs.union(stars)).select(F.col("node").alias("k2"), "root"))
+    texts = d.join(sized(roots.select("k2")), "k2", "left_semi").dropDuplicates(["k2"])
+    return joined(texts.select("k2", shingle_set(F.col("text"), size).alias("s")), roots, least)
 
 
-def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 32) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128) -> DataFrame:
     """docs, with its columns, without rows that repeat the text of a row with a smaller doc_id, and of each group of near duplicates the row with the smallest; ids come before nulls.
 
     Near duplicates are texts whose shingle sets have a Jaccard similarity of least or more; a group is what such pairs join. All of them are found: SimHash misses pairs at
