@@ -150,7 +150,7 @@ def word_views(text: str | None, views: int) -> list[int]:
 def _shingle_hashes(text: str | None, size: int, memo: dict[bytes, int]) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes, combined from the hashes of their words."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(memo) > 1 << 20:
+    if len(memo) > 1 << 15:
         memo.clear()
     for w in set(ws):
         if w not in memo:
@@ -188,7 +188,7 @@ def prefixes(docs: DataFrame, size: int, least: float, one_in: int = 16, often:
         for k2, t in zip(c["k2"], c["text"], strict=True):
             if k2 in seen:
                 continue
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 17:
                 seen.clear()
             seen.add(k2)
             x = _shingle_hashes(t, size, memo)
