@@ -110,8 +110,8 @@ def _fit(binned: DataFrame, keys: list[str], widen: float) -> DataFrame:
 
 
 def _binned(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
-    """Partial sums of the rows of each key by bins of a 32nd in the logarithm of the squared distance: as many rows as keys and bins, combined before the shuffle."""
-    d = squared_distance(rows.join(est, keys), [F.col(f"x{i}") for i in range(P)], "d2")
+    """Partial sums of the rows of each key by bins of a 32nd in the logarithm of the squared distance: as many rows as keys and bins, combined before the shuffle. est: rows by group, and start if keys has it."""
+    d = squared_distance(rows.join(est, "group"), [F.col(f"x{i}") for i in range(P)], "d2")
     at = F.greatest(F.lit(-640), F.least(F.lit(640), F.floor(F.log(F.col("d2") + 1e-9) * 32))).cast("int")
     return (
         d.withColumn("bin", at)
@@ -120,41 +120,55 @@ def _binned(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def estimates(measured: DataFrame, least: int = 200, steps: int = 4, half: float = 0.5) -> DataFrame:
-    """lang, source -> EST: minimum-covariance-determinant centre and covariance root of the statistics of the rows that pass the base rules.
+def groups(measured: DataFrame, least: int) -> DataFrame:
+    """lang, source, group (whose estimate judges the pair's rows) and feeds (the groups that its rows estimate), one row a pair of lang and source.
 
-    measured: lang, source, q. A pair of lang and source with fewer than least such rows shares the estimate of its language's small pairs, and these that of all
-    small ones; a rest with too few has none. Two starts, one from medians and quartiles and one from mean and covariance, take `steps` concentration steps:
-    the half of the rows nearest by the current estimate gives the next. The start that ends with the smaller determinant stays and is reweighted with
-    the rows inside the 97.5 % ellipsoid. Each step is one pass over the statistics with partial sums by key and distance bin; rows of a key never meet in a task.
+    A pair with least or more rows that pass the base rules is a group of its own; a smaller one takes the estimate of its whole language, or of all rows where the language has
+    fewer than least too. A table with fewer than least such rows in all has no group.
     """
-    ok = measured.where(~F.col("q.base_failed")).select("lang", "source", *[F.col(f"q.{c}").alias(f"x{i}") for i, (c, _) in enumerate(FEATURES)])
     text = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    small = F.sum(F.when(F.col("n") < least, F.col("n")))
-    pairs = measured.groupBy("lang", "source").agg(F.count_if(~F.col("q.base_failed")).alias("n")).withColumn("of_lang", small.over(Window.partitionBy("lang")))
-    group = F.when(F.col("n") >= least, F.concat(F.lit("2"), text("lang"), text("source"))).when(F.col("of_lang") >= least, F.concat(F.lit("1"), text("lang"))).otherwise(F.lit("0"))
-    pairs = sized(pairs.select("lang", "source", "n", group.alias("group")))
-    p = pairs.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "group")
-    enough = sized(pairs.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("group"))
-    rows = ok.join(p, ok["lang"].eqNullSafe(p["__l"]) & ok["source"].eqNullSafe(p["__s"])).drop("__l", "__s").join(enough, "group", "left_semi")
+    pairs = cut(measured.groupBy("lang", "source").agg(F.count_if(~F.col("q.base_failed")).alias("n")))
+    langs = pairs.groupBy(F.col("lang").alias("__l")).agg(F.sum("n").alias("of_lang"), F.count_if(F.col("n") < least).alias("small"))
+    of_all, lost = langs.agg(F.coalesce(F.sum("of_lang"), F.lit(0)), F.count_if((F.col("small") > 0) & (F.col("of_lang") < least))).first()
+    d = pairs.join(langs, pairs["lang"].eqNullSafe(langs["__l"])).drop("__l")
+    own, lang, everything = F.concat(F.lit("2"), text("lang"), text("source")), F.concat(F.lit("1"), text("lang")), F.lit("0")
+    group = F.when(F.col("n") >= least, own).when(F.col("of_lang") >= least, lang).when(F.lit(of_all >= least), everything)
+    feeds = F.array(F.when(F.col("n") >= least, own), F.when((F.col("small") > 0) & (F.col("of_lang") >= least), lang), F.when(F.lit(lost > 0 and of_all >= least), everything))
+    return sized(d.select("lang", "source", group.alias("group"), F.filter(feeds, lambda g: g.isNotNull()).alias("feeds")))
+
+
+def estimates(measured: DataFrame, least: int = 100, most_steps: int = 12, half: float = 0.5) -> DataFrame:
+    """lang, source -> EST: minimum-covariance-determinant centre and covariance root of the statistics of the rows that pass the base rules, by the groups of `groups`.
+
+    measured: lang, source, q. Two starts, one from medians and quartiles and one from mean and covariance, take concentration steps until no group's determinant changes by
+    a thousandth of itself, most_steps at most: the half of the rows nearest by the current estimate gives the next. The start that ends with the smaller determinant
+    stays and is reweighted with the rows inside the 97.5 % ellipsoid. Each step is one pass over the statistics with partial sums by key and distance bin, combined before the
+    shuffle; the estimates, one row a group and start, are broadcast where their measured size allows and joined with Spark's skew splitting beyond it.
+    """
+    ok = measured.where(~F.col("q.base_failed")).select("lang", "source", *[F.col(f"q.{c}").alias(f"x{i}") for i, (c, _) in enumerate(FEATURES)])
+    pairs = groups(measured, least)
+    p = pairs.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "feeds")
+    rows = ok.join(p, ok["lang"].eqNullSafe(p["__l"]) & ok["source"].eqNullSafe(p["__s"])).select(F.explode("feeds").alias("group"), *[f"x{i}" for i in range(P)])
 
     quart = rows.groupBy("group").agg(*[F.percentile(F.round(f"x{i}", 3), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(P)])
     first = _cholesky(
         quart.select("group", F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)], *[(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FEATURES[i][1] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
     ).select("group", "start", *EST)
     whole = rows.groupBy("group").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"a{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}{j}") for i, j in PAIRS])
-    est = cut(first.unionByName(_fit(whole.withColumn("start", F.lit(1)), ["group", "start"], 1.0)))
-    both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    est = sized(first.unionByName(_fit(whole.withColumn("start", F.lit(1)), ["group", "start"], 1.0)))
     keys = ["group", "start"]
     inner = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(steps):
-        b = _binned(both, est, keys).withColumn("below", F.coalesce(F.sum("n").over(inner), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-        est = cut(_fit(b.where(F.col("below") < half * F.col("all")), keys, _consistent(half)))
     det = sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))
-    best = est.groupBy("group").agg(F.min_by(F.struct("start", *EST), F.struct(F.round(det, 9), "start")).alias("e")).select("group", "e.*").drop("start")
+    for _ in range(most_steps):
+        b = _binned(rows, est, keys).withColumn("below", F.coalesce(F.sum("n").over(inner), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+        was, est = est, sized(_fit(b.where(F.col("below") < half * F.col("all")), keys, _consistent(half)))
+        moved = est.select(*keys, det.alias("now")).join(was.select(*keys, det.alias("before")), keys).where("abs(now - before) > 0.001")
+        if not moved.take(1):
+            break
+    best = sized(est.groupBy("group").agg(F.min_by(F.struct("start", *EST), F.struct(F.round(det, 9), "start")).alias("e")).select("group", "e.*").drop("start"))
     inside = F.col("bin") < F.lit(int(32 * log(chi2_quantile(0.975, P))))
     final = _fit(_binned(rows, best, ["group"]).where(inside), ["group"], _consistent(0.975))
-    return sized(pairs.join(final, "group", "left").select("lang", "source", *EST))
+    return sized(pairs.join(sized(final), "group", "left").select("lang", "source", *EST))
 
 
 def judged(measured: DataFrame, est: DataFrame, tail: float = 1e-6) -> DataFrame:
