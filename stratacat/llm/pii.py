@@ -93,7 +93,7 @@ KINDS = (
     Kind("phone", phones, 0.6, 0.3, ("tel", "phone", "call", "mobile", "fax")),
     Kind("iban", _matches(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod97), 0.7, 0.2, ("iban", "account", "konto", "cuenta", "compte")),
     Kind("key", _matches(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), 0.8, 0.1, ("key", "aws", "secret")),
-    Kind("password", _matches(r"[Pp]ass(?:word|wd|phrase)[=:][^\s,;]{6,200}"), 0.7, 0.2, ("login", "user")),
+    Kind("password", _matches(r"[Pp]ass(?:word|wd|phrase)[=:][^\s,;]{6,}+"), 0.7, 0.2, ("login", "user")),
     Kind("ssn", _matches(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"), 0.3, 0.4, ("ssn", "social", "security")),
     Kind("local_phone", _matches(r"(?<![0-9+.(-])\(?[0-9]{3,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"), 0.3, 0.4, ("tel", "phone", "call", "mobile", "fax", "telefon")),
 )
@@ -104,7 +104,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def scored(text: str, kinds: tuple[Kind, ...] = KINDS, least: float = 0.5) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind in the order given, then start; code points, end exclusive.
 
-    A span's score is its kind's, plus the boost if one of the kind's context words stands within NEAR characters before it; those under least go.
+    A span's score is its kind's, plus the boost if one of the kind's context words stands within NEAR characters before or after it; those under least go.
     Base kinds come first. Spans of other kinds that overlap one of the base kinds go too: the base reading holds.
     """
     out: list[tuple[str, int, int, float]] = []
@@ -120,7 +120,7 @@ def scored(text: str, kinds: tuple[Kind, ...] = KINDS, least: float = 0.5) -> li
             taken.sort()
             reach = list(accumulate((y for _, y in taken), max))
         for a, b in k.find(text):
-            near = {w.lower() for w in _WORD.findall(text[max(0, a - NEAR) : a])}
+            near = {w.lower() for w in _WORD.findall(f"{text[max(0, a - NEAR) : a]} {text[b : b + NEAR]}")}
             score = min(1.0, k.score + (k.boost if near.intersection(k.context) else 0))
             if score >= least and (k.name in BASE or not overlaps(a, b)):
                 out.append((k.name, a, b, round(score, 3)))
