@@ -94,14 +94,13 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return one.select("doc_id", "item_id", (-F.col("x.col2")).cast("long").alias("begin"), F.col("x.n_matched").cast("long").alias("n_matched"), F.col("x.n_tokens").cast("long").alias("n_tokens"))
 
 
+#: Without seeds: every alignment of an item beside a text in which enough tokens are equal.
 SQL = r"""
-with dt as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') as d from documents),
+with dt as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') as d, row_number() over () as r from documents),
  bt as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') as b from benchmark),
- dp as (select doc_id, d, unnest(range(1, len(d) - 4)) as p from dt), bp as (select item_id, b, unnest(range(1, len(b) - 4)) as p from bt),
- ds as (select doc_id, p, '0 ' || array_to_string(d[p:p+5], ' ') as s from dp union all select doc_id, p, '1 ' || array_to_string(d[p:p+2], ' ') || ' ' || array_to_string(d[p+4:p+6], ' ') from dp where p + 6 <= len(d)),
- bs as (select item_id, p, '0 ' || array_to_string(b[p:p+5], ' ') as s from bp union all select item_id, p, '1 ' || array_to_string(b[p:p+2], ' ') || ' ' || array_to_string(b[p+4:p+6], ' ') from bp where p + 6 <= len(b)),
- h as (select distinct doc_id, item_id, ds.p - bs.p as g from ds join bs using (s)),
- v as (select doc_id, item_id, g, b, least(13, len(b)) as w, list_transform(range(1, len(b) + 1), lambda j: case when g + j >= 1 and d[g + j] = b[j] then 1 else 0 end) as m from h join dt using (doc_id) join bt using (item_id)),
+ dp as (select r, unnest(d) as t, unnest(range(1, len(d) + 1)) as p from dt), bp as (select item_id, len(b) as n, unnest(b) as t, unnest(range(1, len(b) + 1)) as p from bt),
+ h as (select r, item_id, dp.p - bp.p as g from dp join bp using (t) group by r, item_id, g having count(*) >= 0.75 * least(13, min(n))),
+ v as (select doc_id, item_id, g, b, least(13, len(b)) as w, list_transform(range(1, len(b) + 1), lambda j: case when g + j >= 1 and d[g + j] = b[j] then 1 else 0 end) as m from h join dt using (r) join bt using (item_id)),
  f as (select doc_id, item_id, g, len(b) as n_tokens, list_sum(m) as n_matched from v where list_max(list_transform(range(1, len(b) - w + 2), lambda i: list_sum(m[i:i + w - 1]))) >= ceil(0.75 * w))
 select doc_id, item_id, cast(arg_max(g, n_matched * 1000000000::bigint - g) as bigint) as begin, cast(max(n_matched) as bigint) as n_matched, cast(max(n_tokens) as bigint) as n_tokens from f group by doc_id, item_id
 """
