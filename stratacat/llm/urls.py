@@ -35,26 +35,34 @@ def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Col
 
 @dataclass(frozen=True)
 class Level:
-    bits: np.ndarray  # of booleans
+    words: np.ndarray  # 64 bits each
+    bits: int
     hashes: int
 
+    def all_set(self, places: np.ndarray) -> np.ndarray:
+        """Of each row of places whether all its bits are set."""
+        return ((self.words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
+class TooLong(ValueError):
+    """A list whose filter would take more than the bits allowed."""
+
 
 def _places(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)).cast("long") for i in range(hashes)]
 
 
 def _build(keys: DataFrame, n: int, level: int, rate: float, most_bits: int) -> Level:
-    """A filter of n keys. Its bits are set where the keys are; the driver gets the set places in words of 64, no more than bits / 64 rows."""
+    """A filter of n keys. Tasks set the bits in words of 64, combined by bit_or before and after the shuffle; the driver gets the words that aren't zero, most_bits / 8 bytes at most."""
     bits = max(64, ceil(max(n, 1) * log(1 / rate) / log(2) ** 2))
     if bits > most_bits:
-        raise ValueError(f"{n} keys need {bits} bits; most_bits is {most_bits}")
+        raise TooLong(f"{n} keys need {bits} bits; most_bits is {most_bits}")
     hashes = max(1, round(log(1 / rate) / log(2)))
     at = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits, hashes))).alias("at"))
-    rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).collect()
-    out = np.zeros(ceil(bits / 64) * 64, dtype=bool)
-    for r in rows:
-        out[r["word"] * 64 : r["word"] * 64 + 64] = np.unpackbits(np.array([r["set"]], dtype="<i8").view(np.uint8), bitorder="little").astype(bool)
-    return Level(out[:bits], hashes)
+    rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
+    out = np.zeros(ceil(bits / 64), dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
+    return Level(out, bits, hashes)
 
 
 class Cascade:
@@ -66,7 +74,7 @@ class Cascade:
     """
 
     def __init__(self, spark: SparkSession, listed: DataFrame, universe: DataFrame, rate: float = 0.1, most_bits: int = 1 << 27, most_levels: int = 60) -> None:
-        """listed and universe: DataFrames with the column key. most_bits: of one level (16 MB as sent); a longer list raises ValueError, and block_rules then joins."""
+        """listed and universe: DataFrames with the column key. most_bits: of one level, broadcast as most_bits / 8 bytes; a list that needs more raises TooLong."""
         ins = cut(listed.select("key").where("key is not null").distinct())
         outs = universe.select("key").where("key is not null").distinct().join(ins, "key", "left_anti")
         self.levels: list[Level] = []
@@ -77,20 +85,20 @@ class Cascade:
             self.levels.append(_build(ins, n, len(self.levels), rate, most_bits))
             passing = cut(outs.where(self._passes(spark, F.col("key"), len(self.levels) - 1)))
             ins, outs, n = passing, ins, passing.count()
-        self._sent = spark.sparkContext.broadcast([(x.bits, x.hashes) for x in self.levels])
+        self._sent = spark.sparkContext.broadcast(self.levels)
 
     def _passes(self, spark: SparkSession, key: Column, level: int) -> Column:
-        sent = spark.sparkContext.broadcast(self.levels[level].bits)
+        sent = spark.sparkContext.broadcast(self.levels[level])
 
         @F.pandas_udf("boolean")
         def passes(places: pd.Series) -> pd.Series:
-            return pd.Series(sent.value[np.stack(places.to_list())].all(axis=1) if len(places) else [], dtype=bool)
+            return pd.Series(sent.value.all_set(np.stack(places.to_list())) if len(places) else [], dtype=bool)
 
-        return passes(F.array(*_places(key, level, len(self.levels[level].bits), self.levels[level].hashes)))
+        return passes(F.array(*_places(key, level, self.levels[level].bits, self.levels[level].hashes)))
 
     def listed(self, keys: Column) -> Column:
         """For an array of keys an array of booleans."""
-        sizes = [(len(x.bits), x.hashes) for x in self.levels]
+        sizes = [(x.bits, x.hashes) for x in self.levels]
         if not sizes:
             return F.transform(keys, lambda k: F.lit(False))
         places = F.flatten(F.transform(keys, lambda k: F.array(*[p for i, (bits, hashes) in enumerate(sizes) for p in _places(k, i, bits, hashes)])))
@@ -101,41 +109,57 @@ class Cascade:
             counts = [len(x) // stride for x in all_places]
             flat = np.concatenate([*all_places, np.zeros(0, dtype=np.int64)]).astype(np.int64).reshape(-1, stride)
             result, open_, at = np.zeros(len(flat), dtype=bool), np.ones(len(flat), dtype=bool), 0
-            for i, (bits, hashes) in enumerate(sent.value):
-                passed = bits[flat[:, at : at + hashes]].all(axis=1)
+            for i, level in enumerate(sent.value):
+                passed = level.all_set(flat[:, at : at + level.hashes])
                 result[open_ & ~passed] = i % 2 == 1
                 open_ &= passed
-                at += hashes
+                at += level.hashes
             result[open_] = len(sent.value) % 2 == 1
             return pd.Series(np.split(result, np.cumsum(counts)[:-1]) if counts else [])
 
         return member(places)
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, default: str = "allow", rate: float = 0.1, most_bits: int = 1 << 27) -> DataFrame:
+def _cascaded(d: DataFrame, named: DataFrame, universe: DataFrame, rate: float, most_bits: int) -> DataFrame:
+    """d with best: of its keys the longest that a cascade lists, with its length and which of the two list it."""
+    for v in ("block", "allow"):
+        d = d.withColumn(f"__{v}", Cascade(d.sparkSession, named.where(F.col("verdict") == v), universe.union(named.select("key")), rate, most_bits).listed(F.col("__keys")))
+    each = F.transform("__keys", lambda k, i: F.struct(F.length(k).alias("n"), F.col("__block")[i].alias("block"), F.col("__allow")[i].alias("allow"), k.alias("key")))
+    return d.withColumn("best", F.array_max(F.filter(each, lambda x: x["block"] | x["allow"])))
+
+
+def _joined(d: DataFrame, named: DataFrame) -> DataFrame:
+    """As _cascaded, by joins: each distinct host and path meets its rules by key, and the best goes back to the rows. For lists that are too long to send."""
+    keys = d.select("host", "path", "__keys").distinct().select("host", "path", F.explode("__keys").alias("key"))
+    lists = named.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"), F.max(F.col("verdict") == "allow").alias("allow"))
+    best = keys.join(lists, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "block", "allow", "key")).alias("best"))
+    return d.join(best, ["host", "path"], "left")
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES, default: str = "allow", rate: float = 0.1, most_bits: int = 1 << 27) -> DataFrame:
     """The rows of pages, columns in the struct `page`, with host, path, rule and verdict.
 
-    rules: (allow or block, host, path), a list on the driver. A rule fits its host and all subdomains if the path starts with the rule's; the longest wins,
+    rules: (allow or block, host, path), a list on the driver or a DataFrame verdict, host, path. A rule fits its host and all subdomains if the path starts with the rule's; the longest wins,
     block before allow if both list the same. A URL that no rule fits gets default. Two cascades, of allowed and of blocked keys, over all keys that the pages' URLs can form
-    answer without a join. One pass over url makes the universe, one judges. Null URLs have an empty host and path and get the default.
+    answer without a join. One pass over url makes the universe, one judges. A list that needs more than most_bits for a level (16 MB; some 28 million rules at rate 0.1)
+    is joined by key instead, with the same answers. Null URLs have an empty host and path and get the default. A URL forms no more keys than rules have shapes, however long it is.
     """
     spark = pages.sparkSession
-    shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
+    named = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    named = named.select("verdict", F.concat("host", "path").alias("key"), (F.size(F.split("host", r"\.")).alias("labels")), F.length("path").alias("n"))
+    shapes = sorted((r[0], r[1]) for r in named.select("labels", "n").distinct().collect())  # as many as rules have shapes
     host, path = host_path(pages["url"])
     d = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("page"), host.alias("host"), path.alias("path"))
     d = d.withColumn("__keys", candidates(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<string>"))
     alone = pages.select(host.alias("host"), path.alias("path")).distinct()
-    named = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, key string")
+    named = named.select("verdict", "key")
     universe = cut(alone.select(F.explode(candidates(F.col("host"), F.col("path"), shapes)).alias("key")).distinct()) if shapes else named.select("key").limit(0)
-    for v in ("block", "allow"):
-        cascade = Cascade(spark, named.where(F.col("verdict") == v), universe.union(named.select("key")), rate, most_bits)
-        d = d.withColumn(f"__{v}", cascade.listed(F.col("__keys")))
-    fits = F.filter(
-        F.transform("__keys", lambda k, i: F.struct(F.length(k).alias("n"), F.col("__block")[i].alias("block"), F.col("__allow")[i].alias("allow"), k.alias("key"))),
-        lambda x: x["block"] | x["allow"],
-    )
-    best = F.array_max(fits)
-    return d.select("page", "host", "path", best["key"].alias("rule"), F.when(best["block"], "block").when(best["allow"], "allow").otherwise(default).alias("verdict"))
+    try:
+        judged = _cascaded(d, named, universe, rate, most_bits)
+    except TooLong:
+        judged = _joined(d, named)
+    best = F.col("best")
+    return judged.select("page", "host", "path", best["key"].alias("rule"), F.when(best["block"], "block").when(best["allow"], "allow").otherwise(default).alias("verdict"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
