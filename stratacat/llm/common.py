@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -29,10 +30,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set (tests)."""
+    """The shared folder that the session names; a temporary one only where none is set and all tasks run in this machine's own process (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratacat-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: tasks on other machines need a shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratacat-"))
     return sc.getCheckpointDir()
 
 
