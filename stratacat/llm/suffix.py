@@ -378,11 +378,11 @@ def remove_repeats(docs: DataFrame, most: int = 20_000) -> DataFrame:
     k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"])
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
     found = texts.mapInArrow(_scan, _ANCHORS).repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_sift(most), _FOUND)
-    look = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "key", "first", "packed")).alias("places"))
+    look = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "key", "first", "packed")).alias("places"))
     places = texts.join(look.hint("shuffle_merge"), ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_cut_out, _PLACES)
     edges = places.repartition("key").sortWithinPartitions("kind", "key", "seg").mapInArrow(_settle, _SPANS)
     whole = found.where("kind = 0").select("k1", "k2", F.col("first").alias("begin"), (F.col("first") + F.shiftright("packed", 8) + LENGTH).alias("end"))
-    spans = whole.unionByName(edges).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = whole.unionByName(edges).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
