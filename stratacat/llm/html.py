@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from math import exp, log
 
@@ -11,8 +12,7 @@ from pyspark.sql import DataFrame
 
 from stratacat.llm.common import map_batches, table
 
-#: Elements without content, and elements whose content is no markup.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is no markup.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
 #: Elements that start and end a block of text.
 BLOCK = frozenset(
@@ -22,8 +22,10 @@ BLOCK = frozenset(
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in BLOCK - {"body", "html", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "legend", "summary"}} | {"tbody": {"thead", "tbody", "tr", "td", "th"}, "p": {"p"}}
 SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form blockquote".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+#: A quote counts only straight after =; anywhere else it is part of a name, as browsers read it, and the tag ends at its >.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -41,11 +43,13 @@ class Node:
 def parse(page: str) -> list[Node]:
     """The page's blocks as a tree, parents before children. Inline elements belong to their block; text between child blocks of a block gets a block of its own.
 
-    Any text parses: unknown, unclosed and crossing tags are taken as browsers roughly do. Raw elements, comments and head matter give no text.
+    Any text parses: unknown, unclosed and crossing tags are taken as browsers roughly do. Raw elements, comments and head matter give no text. Only blocks are kept open,
+    with a count by tag, and each is closed once, so the work grows with the page.
     """
     nodes = [Node("#root")]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block that each stands for or in
-    at, size, links = 0, len(page), 0
+    stack: list[tuple[str, int]] = [("#root", 0)]  # open blocks and their nodes
+    opened: Counter[str] = Counter()
+    at, size, link = 0, len(page), False
     into = -1  # the block that takes text now; -1: the next text opens one
 
     def put(raw: str) -> None:
@@ -60,9 +64,17 @@ def parse(page: str) -> list[Node]:
             nodes[stack[-1][1]].children.append(into)
         text = entities.unescape(raw)
         nodes[into].text.append(text)
-        if links:
+        if link:
             nodes[into].linked += len(text.strip())
 
+    def close(k: int) -> None:
+        """The open blocks from the k-th on are over."""
+        nonlocal into, link
+        for t, _ in stack[k:]:
+            opened[t] -= 1
+        del stack[k:]
+        into, link = -1, False
+
     while at < size:
         m = _TAG.search(page, at)
         if not m:
@@ -75,30 +87,26 @@ def parse(page: str) -> list[Node]:
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
-                links = max(0, links - 1)
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            if any(t == tag for t, _ in stack):
-                while (popped := stack.pop())[0] != tag:
-                    into = -1 if popped[0] in BLOCK else into
-                into = -1 if tag in BLOCK else into
+                link = False
+            elif opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] > 0 for t in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    into = -1
+                    close(k)
                     break
                 if stack[k][0] in SCOPE:
                     break
         if tag == "br":
             put(" ")
-            continue
-        if tag in BLOCK:
+        elif tag == "a":
+            link = True
+        elif tag in BLOCK:
             into = -1
             if tag == "hr":
                 continue
@@ -106,9 +114,7 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(tag, names, stack[-1][1]))
             nodes[stack[-1][1]].children.append(len(nodes) - 1)
             stack.append((tag, len(nodes) - 1))
-        elif tag not in VOID and not m[3].endswith("/"):
-            links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            opened[tag] += 1
     return nodes
 
 

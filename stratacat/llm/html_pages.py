@@ -64,6 +64,8 @@ LABELLED = [
     _HEAD + f"<nav>{_links(3, 'span')}</nav><article data-main><h1>{_t(5)}</h1>{_t(30)}<p>{_t(12)}</p>{_t(9)}</article><div class='comments'><div class='comment'>{_t(20)}</div><div class='comment'>{_t(6)}</div></div><footer>{_t(7)}</footer></body></html>",
     # a body of paragraphs only
     f"<html><body><div data-main><h1>{_t(4)}</h1>{_ps(20, 31, 44)}</div><div class='footer'>{_t(6)}</div></body></html>",
+    # one paragraph, or two, in an element or a nest of them, and nothing else on the page
+    *[f"{head}<{a} data-main>{''.join(f'<{x}>' for x in inner)}{body}{''.join(f'</{x}>' for x in inner[::-1])}</{a}>{tail}" for head, tail in (("", ""), ("<html><body>", "</body></html>"), ("<body><main>", "</main></body>")) for a in ("article",) for inner in ([], ["div"], ["section", "div"]) for body in (f"<p>{_t(2, 0, '')}</p>", f"<p>{_t(18)}</p>", f"<h1>{_t(4)}</h1><p>{_t(30)}</p>")],
     # an article of many short lines: what a line looks like says little
     *[_HEAD + f"<nav><ul>{_links(5)}</ul></nav><{tag} data-main><h1>{_t(3)}</h1>{_ps(*[1 + i * 5 % 9 for i in range(60)])}<p>{_t(40, 0, '')}</p></{tag.split()[0]}><footer>{_t(6)}</footer></body></html>" for tag in ("article", "div class='content'", "main")],
     # nothing but boilerplate

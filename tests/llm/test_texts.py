@@ -138,6 +138,34 @@ def test_marginals_are_exact(model):
     assert model.marginals(nodes) == pytest.approx([sum(w for s, w in weights.items() if s[i]) / total for i in range(len(nodes))])
 
 
+def test_pages_of_the_table_give_their_articles(model):
+    """Against what stands between the table's article tags, cut at its block tags: pages that the model wasn't trained on."""
+    import html as entities
+
+    import pyarrow.parquet as pq
+
+    for url, page in zip(*(pq.read_table("/root/testdata/sf0.01/pages.parquet")[c].to_pylist() for c in ("url", "html")), strict=True):
+        inside = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", re.search(r"(?s)<article[^>]*>(.*)</article>", page)[1])
+        blocks = (entities.unescape(re.sub(r"</?[a-z][^>]*>", "", re.sub(r"<br\s*/?>", " ", b))) for b in re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|table|tr|td)\b[^>]*>", inside))
+        assert html.main_text(page, model) == "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b), url
+
+
+def test_odd_markup(model):
+    text = lambda page: html.main_text(page, model)
+    assert text("<article><div><p>one paragraph</p></div></article>") == "one paragraph"
+    assert text("<article><img alt=\"5\" tall\"><p title=it's>Some words that stand in an article.</p></article>") == "Some words that stand in an article."
+    assert text("<article><p>" + "<b><i>" * 3 + "Bold</b> words that run on<p>and on.</article>") == "Bold words that run on\n\nand on."
+
+
+@pytest.mark.parametrize("page", ["<p>" + "<b>x<i y>" * 50_000 + "<p>z" * 50_000, "<div>" * 50_000 + "<p>z" * 50_000, "<a =\"" * 50_000, "<a =' " * 50_000, "<table><tr><td>" * 50_000])
+def test_long_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html.parse(page)
+    assert time.perf_counter() - began < 10
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/pdivbrul \"'=-!a&;#1", max_size=80))
 def test_any_page_parses(page):
