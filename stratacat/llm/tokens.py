@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacat.llm.common import table
+from stratacat.llm.common import checkpoint_dir, cut, table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary file of op5; of the operators it is a parameter.
+VOCABULARY = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: How the vocabulary's makers cut a text before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1 << 18
@@ -61,20 +64,71 @@ def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = 50256,
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, _BLOCKS)
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK) -> DataFrame:
-    """Flat token files under path as blocks without labels. Spark reads a file of its binary source whole, so each needs to fit a task."""
+def _store(uri: str):  # noqa: ANN202
+    """The file system of a path and the path there, for tasks. file, hdfs, s3 and others that pyarrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if re.match(r"[a-z][a-z0-9+.-]*:", uri) else f"file://{uri}")
+
+
+def write_token_files(blocks: DataFrame, path: str) -> DataFrame:
+    """Writes the blocks of flat_blocks as flat files under path, one a partition and nothing but ids in them; gives file (its name), ordinal and label of each document.
+
+    A task writes beside its file and renames at the end, so one that runs again leaves the same file. Take an action on the result before the files are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from uuid import uuid4
+
+        out = name = store = top = None
+        ordinal, part = 0, f".{uuid4().hex}"
+        for b in batches:
+            for i in range(b.num_rows):
+                if out is None:
+                    name, (store, top) = b.column(0)[i].as_py(), _store(path)
+                    store.create_dir(top, recursive=True)
+                    out = store.open_output_stream(f"{top}/{part}")
+                out.write(b.column(2)[i].as_buffer())
+                labels = b.column(3)[i].values
+                n = len(labels)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), labels], names=["file", "ordinal", "label"])
+                ordinal += n
+        if out is not None:
+            out.close()
+            store.move(f"{top}/{part}", f"{top}/{name}")
+
+    return blocks.select("file", "block", "data", "labels").mapInArrow(run, "file string, ordinal long, label long")
+
+
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK, bytes_a_task: int = 64 << 20) -> DataFrame:
+    """Flat token files under path as blocks: file (its path), block, data. Spark lists paths and lengths; tasks read ranges of block_ids ids, so a file may be larger than a task's memory.
+
+    Names that start with . or _ are no token files. The tasks open the files themselves (see _store).
+    """
     size = width * block_ids
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("length", F.lit(1)) - 1) / size)))
-    return files.select("file", at.alias("block"), "content").select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("data"), F.lit(None).cast("array<long>").alias("labels"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = source = None
+        for b in batches:
+            for name, length, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name != now:
+                    store, at = _store(name)
+                    now, source = name, store.open_input_file(at)
+                data = source.read_at(min(size, length - block * size), block * size)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    return ranges.repartition(max(1, -(-total // bytes_a_task)), "file", "block").sortWithinPartitions("file", "block").mapInArrow(run, "file string, block long, data binary")
 
 
 def separator_scan(blocks: DataFrame, eod: int = 50256, width: int = 2) -> DataFrame:
-    """file, ordinal (from 0), n_tokens and label of each document of the files: the ids before each separator, which isn't counted; ids after the last are a document of their own.
+    """file, ordinal (from 0) and n_tokens of each document of the files: the ids before each separator, which isn't counted; ids after the last are a document of their own.
 
     Each block is searched at once, knowing nothing of the others: its separators, the ids before the first, between them and after the last. A prefix scan over the blocks'
     few numbers, in the order of a file's blocks, then gives each the separators before it and the ids that are open where it starts. Blocks are searched
-    wherever they lie; only their counts are brought together by file. A block may hold no separator, or nothing but separators.
+    wherever they lie; only three numbers a block are brought together by file. A block may hold no separator, or nothing but separators. Empty files and null data have no documents.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
 
@@ -86,24 +140,33 @@ def separator_scan(blocks: DataFrame, eod: int = 50256, width: int = 2) -> DataF
                 gaps = np.diff(at) - 1
                 head, tail = (int(at[0]), len(ids) - 1 - int(at[-1])) if len(at) else (len(ids), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([len(at)], pa.int64()), pa.array([head], pa.int64()), pa.array([gaps], pa.list_(pa.int64())), pa.array([tail], pa.int64()), b.column(3).slice(i, 1)],
-                    names=["file", "block", "n", "head", "gaps", "tail", "labels"],
+                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([len(at)], pa.int64()), pa.array([head], pa.int64()), pa.array([gaps], pa.list_(pa.int64())), pa.array([tail], pa.int64())],
+                    names=["file", "block", "n", "head", "gaps", "tail"],
                 )
 
-    found = blocks.select("file", "block", "data", "labels").mapInArrow(run, "file string, block long, n long, head long, gaps array<long>, tail long, labels array<long>")
+    found = cut(blocks.select("file", "block", "data").mapInArrow(run, "file string, block long, n long, head long, gaps array<long>, tail long"))
     order = Window.partitionBy("file").orderBy("block")
+    few = found.select("file", "block", "n", "head", "tail")
     # Blocks from one with a separator up to the next such one share a run: its tail and the heads after it are open together.
-    runs = found.withColumn("run", F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(order)).withColumn("open", F.sum(F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("head"))).over(Window.partitionBy("file", "run").orderBy("block")))
+    runs = few.withColumn("run", F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(order)).withColumn("open", F.sum(F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("head"))).over(Window.partitionBy("file", "run").orderBy("block")))
     stitched = (
         runs.withColumn("carried", F.coalesce(F.lag("open").over(order), F.lit(0)))
         .withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("last", F.lead("block").over(order).isNull())
+        .select("file", "block", "carried", "before", F.when(F.col("last"), F.col("open")).otherwise(0).alias("left"))
     )
     closed = F.when(F.col("n") > 0, F.concat(F.array(F.col("carried") + F.col("head")), F.col("gaps"))).otherwise(F.array().cast("array<long>"))
-    counts = F.concat(closed, F.when(F.col("last") & (F.col("open") > 0), F.array("open")).otherwise(F.array().cast("array<long>")))
-    return stitched.select("file", "before", "labels", F.posexplode(counts).alias("k", "n_tokens")).select("file", (F.col("before") + F.col("k")).alias("ordinal"), "n_tokens", F.get("labels", F.col("k")).alias("label"))
+    counts = F.concat(closed, F.when(F.col("left") > 0, F.array("left")).otherwise(F.array().cast("array<long>")))
+    return found.join(stitched, ["file", "block"]).select("file", "before", F.posexplode(counts).alias("k", "n_tokens")).select("file", (F.col("before") + F.col("k")).alias("ordinal"), "n_tokens")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """The token count of each document, found in the flat files that the documents' tokens make. Rows that repeat a doc_id give a row each."""
-    return separator_scan(flat_blocks(table(spark, sf_dir, "documents"))).select(F.col("label").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"))
+    """The token count of each document, found in the flat files that the documents' tokens make in the shared folder. A null or empty text has none; rows that repeat a doc_id give a row each."""
+    from uuid import uuid4
+
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
+    labels = cut(write_token_files(flat_blocks(table(spark, sf_dir, "documents")), folder))
+    if not labels.take(1):
+        return labels.select(F.col("label").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"))
+    found = separator_scan(read_token_files(spark, folder)).withColumn("file", F.substring_index("file", "/", -1))
+    return found.join(labels, ["file", "ordinal"]).select(F.col("label").alias("doc_id"), "n_tokens")

@@ -228,14 +228,28 @@ def test_a_list_too_long_to_send_is_joined(spark):
 
 
 @pytest.mark.parametrize("block", [3, 64, 1 << 18])
-def test_separators(spark, block):
+def test_separators(spark, tmp_path, block):
     texts = ["a b c d e f g " * 3, "", None, "word", "é" * 40, "", "tail"]
     encode = tokens._encoding(open(tokens.VOCABULARY, "rb").read()).encode_ordinary
-    got = tokens.separator_scan(tokens.flat_blocks(docs(spark, texts).repartition(2), block_ids=block))
-    assert sorted((r.label, r.n_tokens) for r in got.collect()) == [(i, len(encode(t or ""))) for i, t in enumerate(texts)]
+    blocks = tokens.flat_blocks(docs(spark, texts).withColumn("label", F.lit("mine")).repartition(2), block_ids=block)
+    labels = tokens.write_token_files(blocks, str(tmp_path / "x")).collect()
+    got = tokens.separator_scan(tokens.read_token_files(spark, str(tmp_path / "x"), block_ids=block)).collect()
+    n = {(r.file.rsplit("/", 1)[1], r.ordinal): r.n_tokens for r in got}
+    assert sorted((r.label, n.pop((r.file, r.ordinal))) for r in labels) == [(i, len(encode(t or ""))) for i, t in enumerate(texts)] and not n
     assert tokens.separator_scan(tokens.flat_blocks(docs(spark, ["x"]).limit(0))).count() == 0
 
 
+def test_token_counts_of_a_table(spark, tmp_path):
+    import shutil
+
+    rows = [(1, "a b c"), (1, "a b c"), (None, "x"), (3, None), (4, "long " * 300_000)]
+    spark.createDataFrame(rows, DOCS).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(((r.doc_id, r.n_tokens) for r in tokens.op5(spark, str(tmp_path)).collect()), key=str) == [(1, 3), (1, 3), (3, 0), (4, 300_001), (None, 1)]
+    shutil.rmtree(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, DOCS).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert tokens.op5(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 2, 5, 1000])
 def test_files_without_an_index(spark, tmp_path, block):
     import numpy as np
