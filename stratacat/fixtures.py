@@ -46,6 +46,26 @@ VIEWS = {
       union all select 'node-4' as member, 1 as seq, id, 'done' as state, 'node-5' as moved_to from @fx_query where doc_id % 24 = 12
       union all select concat('node-',cast((doc_id + 1) % 3 as string)) as member, 2 as seq, id, 'done' as state, concat('node-',cast(doc_id % 3 as string)) as moved_to from @fx_query where doc_id % 66 = 24 and doc_id % 24 <> 12 and doc_id % 30 <> 6 and doc_id % 42 <> 18 and doc_id % 36 <> 0
       union all select 'node-0' as member, 99 as seq, id, 'intent' as state, 'node-1' as moved_to from @fx_query where doc_id % 36 = 0""",
+    # what a branch keeps, a peer's catalog and members of it that can be read
+    "fx_branch": "select * from @fx_lock where doc_id % 2 = 0",
+    "fx_prune": "select member, seq, self_hash as hash from @fx_chain where seq % 100 = 7",
+    "fx_query_moved": "select * from @fx_query where doc_id % 6 = 0",
+    "fx_catalog_tracked": "select * from @fx_catalog where doc_id % 4 > 0",
+    "fx_move": "select concat('node-', cast(doc_id % 5 as string)) as member, path, 'node-0' as to_member, case when doc_id % 4 = 1 then 'taken/once' else concat('to/', path) end as to_path from @fx_lock where doc_id % 6 = 1",
+    "fx_known": "select concat('node-', cast(doc_id % 5 as string)) as name, doc_id % 3 as generation, id from @fx_query where doc_id % 4 < 2",
+    "fx_wanted_id": "select id, doc_id from @fx_query where doc_id % 2 = 0",
+    # a log whose chain holds, its newer half, and what writers would add to it: ids that it has, ids that repeat, refs of its open operations and refs that repeat
+    "fx_log": "select member, seq, op_id, op_type, path, concat('t', op_type, cast(seq % 50 as string)) as ref2, state, created_at, sha(op_id) as self_hash, coalesce(lag(sha(op_id)) over (partition by member order by seq), '0000000000000000000000000000000000000000000000000000000000000000') as prev_hash from @fx_wal",
+    "fx_log_anchor": "select member, seq, self_hash as hash from @fx_log where seq = 20",
+    "fx_candidate": """select concat('node-', cast(c_custkey % 5 as string)) as member, c_custkey as position, case when c_custkey % 11 = 0 then sha(concat('op', cast(c_custkey as string))) else sha(concat('cand', cast(c_custkey % 100 as string))) end as op_id,
+      concat('u', cast(c_custkey % 5 + 5 * (c_custkey % 13) as string), '/k', cast(c_custkey % 4 as string)) as ref1, concat('v', cast(c_custkey % 70 as string)) as ref2 from @customer""",
+    "fx_node": "select n_name as name, concat('host-', cast(n_nationkey as string)) as node, 1704067200 + n_nationkey as joined_at_s, case n_nationkey % 4 when 1 then 'left' when 2 then 'evicted' else 'active' end as status, n_nationkey % 5 <> 2 as answered, n_nationkey % 7 <> 3 as permitted from @nation",
+    "fx_generation": "select s_name as name, concat('h', cast(s_suppkey % 9 as string)) as node, case when s_suppkey % 3 = 0 then 'left' else 'active' end as status, g as generation, s_suppkey * 3 + g as file_count from @supplier join (select 0 as g union all select 1 as g union all select 2 as g) x on (s_suppkey + g) % 4 > 0",
+    "fx_lock_id": """select l.path, case when l.doc_id % 7 = 0 then '' else q.id end as id, l.sha256, l.location, l.deleted, l.doc_id from @fx_lock l join @fx_query q on l.doc_id = q.doc_id""",
+    "fx_upload": "select concat('node-', cast(doc_id % 5 as string)) as member, case when doc_id % 3 = 0 then path else concat('up/f', cast(doc_id % 30 as string), '.x') end as path, concat('up', cast(doc_id as string)) as id, case when doc_id % 4 = 0 then '' else concat('re/', cast(doc_id % 50 as string)) end as rename_to, doc_id from @fx_tree where doc_id % 5 = 1",
+    "fx_catalog_1": "select * from @fx_catalog where member = 'node-1'",
+    "fx_log_1": "select 'node-1' as member, rn - 1 as seq, concat('held', cast(rn as string)) as op_id, id as ref, sha(concat('held', cast(rn as string))) as self_hash, case when rn = 1 then '0000000000000000000000000000000000000000000000000000000000000000' else sha(concat('held', cast(rn - 1 as string))) end as prev_hash, 'intent' as state from (select id, row_number() over (order by path) as rn from @fx_catalog_1 where doc_id % 3 = 0) x",
+    "fx_disk_1": "select d.path, d.sha256, d.size, d.mtime_s from @fx_disk d join @documents t on d.doc_id = t.doc_id where t.doc_id % 5 = 1",
     "fx_snapshot": "select concat('node-',cast(g.n_nationkey % 6 as string)) as name, case when g.n_nationkey < 6 then 0 else 1 end as generation, 10 + g.n_nationkey as file_count from @nation g where g.n_nationkey < 12",
 }
 _NEEDS_ONE_SIDE = {"fx_roster": "select n.*, r.* from (select *, explode(sequence(0, 4)) as rk from @nation) n join @region r on r.r_regionkey = n.rk"}

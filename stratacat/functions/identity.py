@@ -41,6 +41,12 @@ def genesis_problem(genesis: dict[str, Column]) -> Column:
     return F.when(~F.coalesce(c["content_sha256"].rlike("^[0-9a-f]{64}$"), F.lit(False)), "content_sha256").when(F.coalesce(c["original_path"], F.lit("")) == "", "original_path").when(F.coalesce(c["ingest_op_id"], F.lit("")) == "", "ingest_op_id").when(F.coalesce(c["origin_node"], F.lit("")) == "", "origin_node")
 
 
+def guarded_id(genesis: dict[str, Column]) -> Column:
+    """Struct of id and problem: the record's id where the record is whole, else what is wrong with it."""
+    bad = genesis_problem(genesis)
+    return F.struct(F.when(bad.isNull(), mint_id(genesis)).alias("id"), bad.alias("problem"))
+
+
 def op_id(*parts: Column) -> Column:
     """An operation's id from its parts: 16 bytes of their hash, marked as a version 4 UUID, as 32 hex digits."""
     h = F.sha2(F.concat_ws("\x00", *parts), 256)

@@ -108,3 +108,73 @@ def sync_mode(mode: Column) -> Column:
 
 def freshness(recorded: Column, found: Column) -> Column:
     return F.when(recorded == found, "verified").otherwise("changed-since-scan")
+
+
+def random_op_id() -> Column:
+    """A new random operation id: 32 hex digits of a version 4 UUID."""
+    return F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
+
+
+#: Exit codes by kind of error: preconditions 2, network 3, a member's machine 4, content 5, federation 6.
+EXIT_CODES = {"network-down": 3, "logged-out": 3, "node-offline": 4, "node-not-writable": 4, "object-missing": 5, "auth-required": 2, "config": 2, "partial-view": 6, "need-all-members": 6, "chain-broken": 6, "id-collision": 6}
+
+
+def exit_of(kind: Column) -> Column:
+    """0 for no error, the code of a named kind, 1 for an unexpected one."""
+    out = F.lit(1)
+    for k, v in EXIT_CODES.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return F.when(kind.isNull(), 0).otherwise(out)
+
+
+def rfc3339(at: Column) -> Column:
+    """A time in UTC to the second, 2024-01-01T00:00:00Z; empty for none."""
+    return F.coalesce(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+
+
+def conflict_mode(answer: Column) -> Column:
+    """copy, rename or stop from an answer's word or first letter; anything else stops."""
+    a = F.lower(F.trim(answer))
+    return F.when(a.isin("c", "copy"), "copy").when(a.isin("r", "rename"), "rename").otherwise("stop")
+
+
+def is_yes(answer: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(answer)).isin("y", "yes"), F.lit(False))
+
+
+def status_verb(status: Column) -> Column:
+    return F.when(status == "evicted", "was evicted from").when(status == "left", "left").otherwise("is no longer active in")
+
+
+def member_names(names: Column) -> Column:
+    """Names joined by commas; an empty list is an unknown member."""
+    return F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise("an unknown member")
+
+
+def pusher(network: Column, email: Column) -> Column:
+    """Who pushes: the network's name unless it is empty or a bare @, else the e-mail, else unknown."""
+    return F.coalesce(F.nullif(F.nullif(network, F.lit("")), F.lit("@")), F.nullif(email, F.lit("")), F.lit("unknown"))
+
+
+def actor(network: Column, email: Column) -> Column:
+    """Who acts, for a log entry: as pusher, but a bare @ stands."""
+    return F.coalesce(F.nullif(network, F.lit("")), F.nullif(email, F.lit("")), F.lit("unknown"))
+
+
+def with_include(include: Column, pattern: Column) -> Column:
+    """include with pattern at its end unless it has it."""
+    return F.when(F.array_contains(include, pattern), include).otherwise(F.array_append(include, pattern))
+
+
+def with_lines(text: Column, wanted: Column) -> Column:
+    """text with those lines of the array wanted that it doesn't have, trimmed, added in order; a last line without an end gets one first."""
+    have = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    new = F.filter(F.array_distinct(F.transform(wanted, lambda x: F.trim(x))), lambda w: (w != "") & ~F.array_contains(have, w))
+    end = F.when((text != "") & ~text.endswith("\n"), "\n").otherwise("")
+    return F.when(F.size(new) > 0, F.concat(text, end, F.array_join(new, "\n"), F.lit("\n"))).otherwise(text)
+
+
+def track_mode(args: Column, force_vault: Column, force_repo: Column, registered: Column, in_repo: Column) -> Column:
+    """vault, repo or the error of the arguments of a track: both-flags or ambiguous. registered: whether the one argument's first segment names a location."""
+    one = (F.size(args) == 1) & F.contains(F.get(args, F.lit(0)), F.lit("/")) & registered
+    return F.when(force_vault & force_repo, "both-flags").when(force_vault, "vault").when(force_repo | ~F.coalesce(one, F.lit(False)), "repo").when(in_repo, "ambiguous").otherwise("vault")

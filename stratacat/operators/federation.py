@@ -93,15 +93,135 @@ def heal(entries: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def id_prefix(catalog: DataFrame, members: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """prefix, n_ids, verdict, id: found, ambiguous, missing, or partial-view where an active member is silent. Prefixes of one length meet ids by equality of that many characters."""
+    """prefix, n_ids, verdict, id: found, ambiguous, missing, or partial-view where an active member is silent. Prefixes of one length meet ids by equality of that many characters.
+
+    Ids keep only the starts that are asked for, and those are counted before they meet a prefix, so a short prefix gathers no ids.
+    """
     up = catalog.join(members.where("answered").select(F.col("name").alias("member")), "member", "left_semi").select("id").distinct()
-    p = prefixes.select("prefix", F.length("prefix").alias("n"))
+    p = prefixes.select("prefix", F.length("prefix").alias("n")).distinct()
     lengths = p.where("n between 1 and 64").select("n").distinct()  # 64 rows at most
     keys = up.join(F.broadcast(lengths), F.length("id") >= F.col("n")).select("id", F.expr("substring(id, 1, n)").alias("key"))
-    hits = p.join(keys, F.lower("prefix") == F.col("key"), "left").groupBy("prefix").agg(F.count("id").alias("n_ids"), F.min("id").alias("id"))
+    asked = p.select(F.lower("prefix").alias("key")).distinct()
+    counted = keys.join(asked, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_ids"), F.min("id").alias("id"))
+    hits = p.join(counted, F.lower("prefix") == F.col("key"), "left").select("prefix", F.coalesce("n_ids", F.lit(0).cast("long")).alias("n_ids"), "id")
     silent = members.agg(F.coalesce(F.max((F.col("status") == "active") & ~F.col("answered")), F.lit(False)).alias("silent"))
     v = F.when(F.col("n_ids") == 1, "found").when(F.col("n_ids") > 1, "ambiguous").when(F.col("silent"), "partial-view").otherwise("missing")
-    return hits.join(silent, F.lit(True), "left").select("prefix", "n_ids", v.alias("verdict"), F.when(F.col("n_ids") == 1, F.col("id")).alias("id"))
+    return hits.join(silent, F.lit(True), "left").select("prefix", "n_ids", v.alias("verdict"), F.when(F.col("n_ids") == 1, F.col("id")).alias("id"))  # one row on the right
+
+
+def collision(resolved: DataFrame) -> DataFrame:
+    """id, verdict, member of ids that someone wants to restore, from resolve: collision where a member holds the id, refused where the view is partial or in error, ok where it is missing everywhere."""
+    v = F.when(F.col("outcome").isin("found-at-home", "found-elsewhere"), "collision").when(F.col("outcome") == "missing", "ok").otherwise("refused")
+    return resolved.select("id", v.alias("verdict"), F.when(v == "collision", F.col("member")).alias("member"))
+
+
+def reach_tally(members: DataFrame) -> DataFrame:
+    """n_answered, n_members, silent: of the active members how many answered, and the others' names in order."""
+    m = active(members)
+    return m.agg(F.count_if("answered").alias("n_answered"), F.count("*").alias("n_members"), F.array_join(F.sort_array(F.collect_list(F.when(~F.col("answered"), F.col("name")))), ", ").alias("silent"))
+
+
+def probe(members: DataFrame, replies: DataFrame, within_ms: int) -> DataFrame:
+    """members with answered: whether a reply (name, took_ms; null for none) came in time. Members that nobody asked haven't answered."""
+    r = replies.where(F.col("took_ms") <= within_ms).select("name", F.lit(True).alias("a")).distinct()
+    return members.drop("answered").join(r, "name", "left").withColumn("answered", F.coalesce("a", F.lit(False))).drop("a")
+
+
+def load_roster(rosters: DataFrame, readable: DataFrame) -> DataFrame:
+    """merge_rosters of the copies (observer) whose catalog could be read (readable: observer); the others don't count against it. More than one federation id among them is an error."""
+    rows = rosters.join(readable.select("observer").distinct(), "observer", "left_semi")
+    if "fed_id" in rosters.columns and len(ids := [r[0] for r in federation_ids(rows).limit(2).collect()]) > 1:
+        raise ValueError(f"the copies name different federations: {', '.join(sorted(ids))}")
+    return merge_rosters(rows)
+
+
+def discover_roster(rosters: DataFrame, readable: DataFrame, via: str | None = None, joiner: str = "") -> DataFrame:
+    """The roster to join: the copy of a sponsor (via), or all readable copies merged; the joiner's own copy doesn't count."""
+    if via is not None:
+        return rosters.where(F.col("observer") == via).select("name", "joined_at_s", "status")
+    return load_roster(rosters.where(F.col("observer") != joiner), readable)
+
+
+def roster_of_catalog(rosters: DataFrame, observer: str) -> DataFrame:
+    """The members that a catalog's own federation table names, by name. A catalog without a federation id, or none, is an error."""
+    rows = rosters.where((F.col("observer") == observer) & (F.coalesce("fed_id", F.lit("")) != ""))
+    if not rows.take(1):
+        raise ValueError(f"{observer} is in no federation")
+    return rows.drop("observer").orderBy("name")
+
+
+def roster_of_snapshot(snapshots: DataFrame, generation: int = 0) -> DataFrame:
+    """name, node, status as a snapshot knew them; when they joined it doesn't know."""
+    return snapshots.where(F.col("generation") == generation).select("name", "node", "status", F.lit(None).cast("long").alias("joined_at_s"))
+
+
+def snapshot_pair(snapshots: DataFrame) -> DataFrame:
+    """name, current, previous: each member's file count in the two generations kept; null where a generation doesn't have it."""
+    of = lambda g: F.max(F.when(F.col("generation") == g, F.col("file_count"))).cast("long")
+    return snapshots.where("generation < 2").groupBy("name").agg(of(0).alias("current"), of(1).alias("previous"))
+
+
+def snapshot_of(catalog: DataFrame, members: DataFrame, taken_at_s: int, most: int | None = None) -> DataFrame:
+    """name, status, taken_at_s, file_count, ids of the active members that answered: what a listing remembers. A member without files has none. ids: in order, one array a member, as snapshots hold them."""
+    up = active(members).where("answered").select("name", "status")
+    rows = catalog.groupBy(F.col("member").alias("name")).agg(F.count("*").alias("file_count"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return up.join(rows, "name", "left").select("name", "status", F.lit(taken_at_s).cast("long").alias("taken_at_s"), F.coalesce("file_count", F.lit(0)).alias("file_count"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
+def live_or_cached(catalog: DataFrame, members: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """member, id, path, cached: the files of active members that answer, and of those that don't the ids of the newest snapshot that has them, without paths."""
+    up = active(members)
+    live = catalog.join(up.where("answered").select(F.col("name").alias("member")), "member", "left_semi").select("member", "id", "path", F.lit(False).alias("cached"))
+    known = last_known(snapshots).join(up.where("not answered").select("name"), "name", "left_semi")
+    return live.unionByName(known.select(F.col("name").alias("member"), F.explode("ids").alias("id")).select("member", "id", F.lit(None).cast("string").alias("path"), F.lit(True).alias("cached")))
+
+
+def has_active(roster: DataFrame, names: DataFrame) -> DataFrame:
+    """name, active: whether the roster has an active member of the name."""
+    return names.join(active(roster).select("name", F.lit(True).alias("a")).distinct(), "name", "left").select("name", F.coalesce("a", F.lit(False)).alias("active"))
+
+
+def node_of(roster: DataFrame, names: DataFrame) -> DataFrame:
+    """name, node: empty for members that the roster doesn't know."""
+    return names.join(roster.select("name", "node"), "name", "left").select("name", F.coalesce("node", F.lit("")).alias("node"))
+
+
+def pending_roster_ops(wal: DataFrame, members: DataFrame) -> DataFrame:
+    """name, n: roster operations under way in each member's log; 0 for one that doesn't answer."""
+    n = wal.where("op_type = 'roster' and state = 'intent'").groupBy(F.col("member").alias("name")).agg(F.count("*").alias("n"))
+    return members.join(n, "name", "left").select("name", F.when(F.col("answered"), F.coalesce("n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n"))
+
+
+def source(catalog: DataFrame, members: DataFrame, wanted: DataFrame, held: DataFrame, moves: DataFrame) -> DataFrame:
+    """arg, id, verdict, member of what arguments name: `member/path` or the start of an id; then where the file is now. ambiguous, not-found and partial-view come from the prefix, other verdicts from resolve, whose live home wins over the member named."""
+    from stratacat.functions.scalars import target
+
+    t = wanted.select("arg", target(F.col("arg")).alias("t")).select("arg", "t.*")
+    by_path = t.where("path is not null").join(catalog.select("member", "path", F.col("id").alias("found")), ["member", "path"], "left").select("arg", F.col("found").alias("of"), F.col("member").alias("home"), F.when(F.col("found").isNull(), "not-found").alias("early"))
+    asked = t.where("path is null and coalesce(id, '') <> ''").select("arg", F.col("id").alias("prefix"))
+    hit = id_prefix(catalog, members, asked.select("prefix").distinct()).select("prefix", F.col("id").alias("of"), F.when(F.col("verdict") == "missing", "not-found").when(F.col("verdict") != "found", F.col("verdict")).alias("early"))
+    by_id = asked.join(hit, "prefix", "left").select("arg", "of", F.lit(None).cast("string").alias("home"), "early")
+    none = t.where("path is null and coalesce(id, '') = ''").select("arg", F.lit(None).cast("string").alias("of"), F.lit(None).cast("string").alias("home"), F.lit("not-found").alias("early"))
+    named = by_path.unionByName(by_id).unionByName(none)
+    now = resolve(named.where("of is not null").groupBy(F.col("of").alias("id")).agg(F.min("home").alias("home")), held, moves, members)
+    j = named.join(now.select(F.col("id").alias("of"), "outcome", "member"), "of", "left")
+    return j.select("arg", F.col("of").alias("id"), F.coalesce("early", "outcome").alias("verdict"), "member")
+
+
+def resolve_entries(entries: DataFrame, resolved: DataFrame, members: DataFrame) -> DataFrame:
+    """path, member, warning of lock entries (path, id, location) with what resolve says of their ids: where to fetch from; entries without an id come from their location. moved where that is elsewhere, home-<status> where the location is no active member; unresolved has no member."""
+    r = resolved.select("id", "outcome", F.col("member").alias("at"))
+    home = members.select(F.col("name").alias("location"), F.col("status").alias("home_status"))
+    j = entries.select("path", F.nullif("id", F.lit("")).alias("id"), "location").join(r, "id", "left").join(home, "location", "left")
+    member = F.when(F.col("id").isNull(), F.col("location")).otherwise(F.col("at"))
+    w = F.when(member.isNull(), F.concat(F.lit("unresolved-"), F.coalesce("outcome", F.lit("unknown")))).when(F.col("home_status") != "active", F.concat(F.lit("home-"), F.col("home_status"))).when(member != F.col("location"), "moved")
+    return j.select("path", member.alias("member"), w.alias("warning"))
+
+
+def fan_out(targets: DataFrame) -> DataFrame:
+    """name, result of a roster write to targets (name, answered, permitted): applied, or pending where one doesn't answer; refused for all that answer if any of these doesn't permit it, before any is written."""
+    barred = targets.agg(F.coalesce(F.bool_or(F.col("answered") & ~F.col("permitted")), F.lit(False)).alias("barred"))
+    return targets.join(barred, F.lit(True), "left").select("name", F.when(~F.col("answered"), "pending").when(F.col("barred"), "refused").otherwise("applied").alias("result"))  # one row on the right
 
 
 def totals(catalog: DataFrame) -> DataFrame:

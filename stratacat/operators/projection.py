@@ -126,15 +126,37 @@ def project(wal: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def project_without_moves(wal: DataFrame) -> DataFrame:
-    """member, path, sha256 where no operation moves: a path's last ingest or delete decides, and the last content since is its. Combining aggregates only. wal: member, path, seq, op_type, content_sha256, state."""
+    """member, path, sha256 where no operation moves: a path's last ingest or delete decides, and its last content is its. One combining aggregate. wal: member, path, seq, op_type, content_sha256, state."""
     d = wal.where("state = 'done' and op_type in ('ingest', 'delete', 'scan')")
-    edge = F.col("op_type").isin("ingest", "delete")
-    w = Window.partitionBy("member", "path")
-    d = d.withColumn("edge", F.max(F.when(edge, F.col("seq"))).over(w)).where("edge is not null and seq >= edge")
-    g = d.groupBy("member", "path").agg(F.max(F.when(F.col("seq") == F.col("edge"), F.col("op_type"))).alias("kind"), F.max_by(F.when(F.col("op_type") != "delete", F.col("content_sha256")), F.when(F.col("op_type") != "delete", F.col("seq"))).alias("sha256"))
+    last = lambda c, when: F.max_by(F.when(when, F.col(c)), F.when(when, F.col("seq")))
+    g = d.groupBy("member", "path").agg(last("op_type", F.col("op_type") != "scan").alias("kind"), last("content_sha256", F.col("op_type") != "delete").alias("sha256"))
     return g.where("kind = 'ingest'").select("member", "path", "sha256")
 
 
+def replay(catalog: DataFrame, ops: DataFrame) -> DataFrame:
+    """CATALOG after the operations ops (as of project, whatever their state) are applied to catalog in the order of seq, strictly: one that can't be applied fails the run, and nothing is written.
+
+    catalog: CATALOG. A member's catalog is one task's; members without operations pass as they are.
+    """
+    import pandas as pd
+
+    def run(key: tuple, now: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        member = key[0]
+        fold = Fold(member, ({k: None if v is pd.NaT else v for k, v in r.items()} for r in now.to_dict("records")))
+        for r in log.sort_values("seq").itertuples(index=False):
+            fold.apply(r.op_type, dict(r.args or ()), list(r.blob_refs) if r.blob_refs is not None else [], r.op_id, r.created_at, strict=True)
+        out = pd.DataFrame(list(fold.rows.values()), columns=COLUMNS)
+        for c in ("created_at", "updated_at", "last_scanned"):
+            out[c] = pd.to_datetime(out[c])
+        return out.assign(size=out["size"].fillna(0).astype("int64"))
+
+    touched = ops.select("member").distinct()
+    some = catalog.join(touched, "member", "left_semi").select(*COLUMNS)
+    log = ops.select("member", "seq", "op_id", "op_type", "blob_refs", "args", "created_at")
+    done = some.groupBy("member").cogroup(log.groupBy("member")).applyInPandas(run, CATALOG)
+    return catalog.join(touched, "member", "left_anti").select(*COLUMNS).unionByName(done)
+
+
 def upsert(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     """catalog with rows in the place of those at their paths."""
     return catalog.join(rows.select("member", "path"), ["member", "path"], "left_anti").unionByName(rows)

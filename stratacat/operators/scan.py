@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Exit codes of findings; others have 0 and the greatest counts.
@@ -29,13 +29,12 @@ def diff(catalog: DataFrame, disk: DataFrame, paranoid: bool = False) -> DataFra
 
 
 def pair_moves(found: DataFrame) -> DataFrame:
-    """A deleted and an added row of one content, each the only one of its kind, become one moved row with old_path."""
-    w = Window.partitionBy("sha256")
-    n = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(w)
-    old = F.max(F.when(F.col("kind") == "deleted", F.col("path"))).over(w)
-    f = found.withColumn("pair", (n("added") == 1) & (n("deleted") == 1)).withColumn("old", old)
-    moved = F.col("pair") & (F.col("kind") == "added")
-    return f.where(~(F.col("pair") & (F.col("kind") == "deleted"))).select("path", F.when(moved, "moved").otherwise(F.col("kind")).alias("kind"), "sha256", F.when(moved, F.col("old")).alias("old_path"))
+    """A deleted and an added row of one content, each the only one of its kind, become one moved row with old_path. Counts by content combine before the shuffle; contents that many rows have don't pair."""
+    n = lambda k: F.count_if(F.col("kind") == k)
+    pairs = found.where("kind in ('added', 'deleted')").groupBy("sha256").agg(n("added").alias("a"), n("deleted").alias("d"), F.max(F.when(F.col("kind") == "deleted", F.col("path"))).alias("old")).where("a = 1 and d = 1").select("sha256", "old")
+    f = found.join(pairs, "sha256", "left")
+    moved = F.col("old").isNotNull() & (F.col("kind") == "added")
+    return f.where("old is null or kind <> 'deleted'").select("path", F.when(moved, "moved").otherwise(F.col("kind")).alias("kind"), "sha256", F.when(moved, F.col("old")).alias("old_path"))
 
 
 def counts(changes: DataFrame) -> DataFrame:
@@ -77,18 +76,31 @@ def to_operations(changes: DataFrame) -> DataFrame:
     return changes.select("path", op.alias("op_type"), args.alias("args")).where("op_type is not null")
 
 
-def free_names(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
-    """path, free: the path itself if no row has it, else `stem (n).ext` with the smallest n from 2 that is free.
+def parts(path: str = "path") -> tuple[F.Column, F.Column]:
+    """stem and extension (with its dot; none for a name that starts with its only dot)."""
+    ext = F.regexp_extract(path, r"[^/](\.[^./]*)$", 1)
+    return F.substring(F.col(path), 1, F.length(path) - F.length(ext)), ext
 
-    Of the n that are taken, sorted, the first that isn't its place plus 2 has a gap before it: no list of candidates is made.
-    """
-    ext = lambda c: F.regexp_extract(c, r"[^/](\.[^./]*)$", 1)
-    w = wanted.select("path", F.substring(F.col("path"), 1, F.length("path") - F.length(ext(F.col("path")))).alias("stem"), ext(F.col("path")).alias("ext"))
+
+def used_numbers(paths: DataFrame) -> DataFrame:
+    """stem, ext, used: the n from 2 of the paths `stem (n).ext`, sorted."""
     rx = r"^(.*) \(([0-9]{1,9})\)((?:\.[^./]*)?)$"
-    used = catalog.select("path").where(F.col("path").rlike(rx)).select(F.regexp_extract("path", rx, 1).alias("stem"), F.regexp_extract("path", rx, 3).alias("ext"), F.regexp_extract("path", rx, 2).alias("t"))
-    used = used.where(F.col("t") == F.col("t").cast("int").cast("string")).select("stem", "ext", F.col("t").cast("int").alias("n")).where("n >= 2").distinct()
-    run = used.withColumn("place", F.row_number().over(Window.partitionBy("stem", "ext").orderBy("n")) + 1)
-    gap = run.groupBy("stem", "ext").agg(F.coalesce(F.min(F.when(F.col("n") != F.col("place"), F.col("place"))), F.max("n") + 1).alias("n"))
+    n = paths.select("path").where(F.col("path").rlike(rx)).select(F.regexp_extract("path", rx, 1).alias("stem"), F.regexp_extract("path", rx, 3).alias("ext"), F.regexp_extract("path", rx, 2).alias("t"))
+    return n.where(F.col("t") == F.col("t").cast("int").cast("string")).where("cast(t as int) >= 2").groupBy("stem", "ext").agg(F.sort_array(F.collect_set(F.col("t").cast("int"))).alias("used"))
+
+
+def nth_free(used: F.Column, k: F.Column) -> F.Column:
+    """The k-th number from 2, k from 1, that the sorted array used doesn't have."""
+    return F.aggregate(F.coalesce(used, F.array().cast("array<int>")), k.cast("int") + 1, lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+
+
+def numbered(stem: F.Column, n: F.Column, ext: F.Column) -> F.Column:
+    return F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)
+
+
+def free_names(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+    """path, free: the path itself if no row has it, else `stem (n).ext` with the smallest n from 2 that is free."""
+    stem, ext = parts()
     taken = catalog.select("path", F.lit(True).alias("taken")).distinct()
-    j = w.join(taken, "path", "left").join(gap, ["stem", "ext"], "left")
-    return j.select("path", F.when(F.col("taken"), F.concat("stem", F.lit(" ("), F.coalesce("n", F.lit(2)).cast("string"), F.lit(")"), "ext")).otherwise(F.col("path")).alias("free"))
+    j = wanted.select("path", stem.alias("stem"), ext.alias("ext")).join(taken, "path", "left").join(used_numbers(catalog), ["stem", "ext"], "left")
+    return j.select("path", F.when(F.col("taken"), numbered(F.col("stem"), nth_free(F.col("used"), F.lit(1)), F.col("ext"))).otherwise(F.col("path")).alias("free"))

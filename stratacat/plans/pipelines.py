@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratacat.functions import globs, identity
-from stratacat.operators import gc, locks, projection, scan, status, wal
+from stratacat.operators import federation, gc, locks, projection, scan, status, wal
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """table: the changed table; report: a row for each thing done or refused."""
+    """table: the changed table; report: a row for each thing done or refused; intents: what goes to the log before anything is changed, where a command journals, and is marked done after."""
 
     table: DataFrame
     report: DataFrame
+    intents: DataFrame | None = None
 
 
 def push(tree: DataFrame, lock: DataFrame, objects: DataFrame, location: str, pushed_at_s: int, auto_delete: bool = True) -> Outcome:
@@ -71,18 +72,30 @@ def ingest(listing: DataFrame, member: str, seen: DataFrame) -> DataFrame:
 
 
 def track(paths: DataFrame, catalog: DataFrame, disk: DataFrame) -> DataFrame:
-    """path, verdict: missing, tracked (new), already or drifted."""
+    """path, verdict: missing, tracked (new), already or drifted. With the column position, the first missing path ends the run: later ones are not-reached."""
     j = paths.join(catalog.select("path", F.col("sha256").alias("was")), "path", "left").join(disk.select("path", F.col("sha256").alias("now")), "path", "left")
     v = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "tracked").when(F.col("was") == F.col("now"), "already").otherwise("drifted")
-    return j.select("path", v.alias("verdict"))
+    if "position" not in paths.columns:
+        return j.select("path", v.alias("verdict"))
+    stop = j.agg(F.min(F.when(F.col("now").isNull(), F.col("position"))).alias("stop"))
+    return j.join(stop, F.lit(True)).select("path", F.when(F.col("position") > F.col("stop"), "not-reached").otherwise(v).alias("verdict"))  # one row on the right
 
 
-def set_sync_mode(catalog: DataFrame, wanted: DataFrame, settable: tuple[str, ...] = ("git", "manual")) -> Outcome:
-    """The catalog with the modes of wanted (path, to_mode); report: no-file, not-settable, same or changed."""
-    v = F.when(F.col("sync_mode").isNull(), "no-file").when(~F.col("to_mode").isin(*settable), "not-settable").when(F.col("to_mode") == F.col("sync_mode"), "same").otherwise("changed")
-    report = wanted.join(catalog.select("path", "sync_mode"), "path", "left").select("path", "to_mode", v.alias("verdict"))
-    to = report.where("verdict = 'changed'").select("path", "to_mode")
-    return Outcome(catalog.join(to, "path", "left").withColumn("sync_mode", F.coalesce("to_mode", "sync_mode")).drop("to_mode").select(*catalog.columns), report)
+def set_sync_mode(catalog: DataFrame, wanted: DataFrame, settable: tuple[str, ...] = ("git", "manual"), objects: DataFrame | None = None) -> Outcome:
+    """The catalog with the modes of wanted (path, to_mode); report: no-file, not-settable, same, no-bytes, rehomed or changed.
+
+    With objects (object_key, observed_sha), a file that git is to keep is hashed first: without bytes it stays as it is, and other bytes than recorded take the row to their own hash.
+    """
+    now = F.col("observed_sha") if objects is not None else F.lit(None).cast("string")
+    j = wanted.join(catalog.select("path", "sync_mode", "sha256"), "path", "left")
+    if objects is not None:
+        j = j.join(objects.select(F.col("object_key").alias("sha256"), "observed_sha"), "sha256", "left")
+    to_git = F.lit(objects is not None) & (F.col("to_mode") == "git")
+    v = F.when(F.col("sync_mode").isNull(), "no-file").when(~F.col("to_mode").isin(*settable), "not-settable").when(F.col("to_mode") == F.col("sync_mode"), "same").when(to_git & now.isNull(), "no-bytes").when(to_git & (now != F.col("sha256")), "rehomed").otherwise("changed")
+    report = j.select("path", "to_mode", v.alias("verdict"), F.when(v == "rehomed", now).alias("new_sha256"))
+    to = report.where("verdict in ('changed', 'rehomed')").select("path", "to_mode", "new_sha256")
+    table = catalog.join(to, "path", "left").withColumn("sync_mode", F.coalesce("to_mode", "sync_mode")).withColumn("sha256", F.coalesce("new_sha256", "sha256"))
+    return Outcome(table.select(*catalog.columns), report)
 
 
 def move(catalog: DataFrame, moves: DataFrame) -> Outcome:
@@ -126,13 +139,33 @@ def smudge(pointers: DataFrame, objects: DataFrame) -> DataFrame:
     return j.select("path", F.when(v == "ok", F.col("content")).alias("content"), v.alias("verdict"))
 
 
-def put(catalog: DataFrame, rows: DataFrame, conflict: str = "stop") -> Outcome:
-    """The catalog with rows added. Where a path is taken: stop refuses the row, copy gives it the first free `name (n)`; report: path, final_path, verdict."""
-    free = scan.free_names(rows.select("path"), catalog)
-    v = F.when(F.col("path") == F.col("free"), "put").when(F.lit(conflict) == "copy", "copied").otherwise("refused")
-    report = free.select("path", F.col("free").alias("final_path"), v.alias("verdict"))
-    ok = rows.join(report.where("verdict <> 'refused'").select("path", "final_path"), "path").withColumn("path", F.col("final_path")).drop("final_path")
-    return Outcome(catalog.unionByName(ok.select(*catalog.columns)), report)
+def put(catalog: DataFrame, rows: DataFrame, conflict: str | None = "stop") -> Outcome:
+    """The catalog with rows added; report: path, rank, final_path, verdict. A path is free for the first new row that has it, if no row of the catalog does.
+
+    Another row on it is, by conflict: stop: refused; copy: copied, each to its own first free `name (n)`, where names that other new rows ask for count as taken; rename: renamed to the row's rename_to,
+    or needs-name where it has none, or refused where that is taken or asked for; None, as without a terminal to ask: undecided. Rows of a path rank by all their columns.
+    """
+    from pyspark.sql import Window
+
+    cols = catalog.columns
+    to = F.nullif(F.trim("rename_to"), F.lit("")) if "rename_to" in rows.columns else F.lit(None).cast("string")
+    stem, ext = scan.parts()
+    r = rows.select(*cols, to.alias("__to"), F.row_number().over(Window.partitionBy("path").orderBy(*[c for c in cols if c != "path"])).alias("__rank"), stem.alias("stem"), ext.alias("ext"))
+    names = catalog.select("path").union(rows.select("path")).distinct()
+    r = r.join(catalog.select("path", F.lit(True).alias("__there")).distinct(), "path", "left").join(scan.used_numbers(names), ["stem", "ext"], "left")
+    free, nth = F.col("__there").isNull() & (F.col("__rank") == 1), F.col("__rank") - F.when(F.col("__there"), 0).otherwise(1)
+    if conflict == "copy":
+        final, verdict = scan.numbered(F.col("stem"), scan.nth_free(F.col("used"), nth), F.col("ext")), F.lit("copied")
+    elif conflict == "rename":
+        r = r.join(names.select(F.col("path").alias("__to"), F.lit(True).alias("__bad")), "__to", "left")
+        turn = F.when(~free & F.col("__to").isNotNull(), F.row_number().over(Window.partitionBy("__to").orderBy(free, "path", "__rank")))
+        r = r.withColumn("__turn", turn)
+        final, verdict = F.col("__to"), F.when(F.col("__to").isNull(), "needs-name").when(F.col("__bad") | (F.col("__turn") > 1), "refused").otherwise("renamed")
+    else:
+        final, verdict = F.lit(None).cast("string"), F.lit("undecided" if conflict is None else "refused")
+    d = r.withColumn("__verdict", F.when(free, "put").otherwise(verdict)).withColumn("__final", F.when(free, F.col("path")).when(F.col("__verdict").isin("copied", "renamed"), final))
+    ok = d.where("__final is not null").select(*[F.col("__final").alias("path") if c == "path" else F.col(c) for c in cols])
+    return Outcome(catalog.unionByName(ok), d.select("path", F.col("__rank").alias("rank"), F.col("__final").alias("final_path"), F.col("__verdict").alias("verdict")))
 
 
 def roster_change(members: DataFrame, change: DataFrame, at_s: int) -> Outcome:
@@ -169,3 +202,163 @@ def header(own: DataFrame, peers: DataFrame, standalone: bool) -> DataFrame:
 def genesis_source(receipts: DataFrame, records: DataFrame, locked: DataFrame, which: str) -> DataFrame:
     """id and the record's four fields from exactly one of the three: receipt, record or lock."""
     return {"receipt": receipts, "record": records, "lock": locked}[which].select("id", *identity.GENESIS)
+
+
+def _intents(rows: DataFrame, actor: str, created_at: str) -> DataFrame:
+    """rows (member, op_id, op_type, blob_refs, args) as wal.append_all takes them: in the order of op_id, with position, actor and the time's text. Positions are the ids' first 15 hex digits, so no order is counted."""
+    return rows.select("member", F.conv(F.substring(F.sha2("op_id", 256), 1, 15), 16, 10).cast("long").alias("position"), "op_id", "op_type", "blob_refs", F.lit(actor).alias("actor"), F.lit(created_at).alias("created_at"), "args")
+
+
+def sweep_federated(objects: DataFrame, catalog: DataFrame, plan: DataFrame, log: DataFrame, run: str, actor: str = "gc", created_at: str = "1970-01-01T00:00:00Z") -> Outcome:
+    """A federated collection carried out: of the eligible keys of plan those whose id has an intent in log by now are skipped-pending; the others' ids go into gc intents, and where these are appended, objects and
+    rows go. table: the catalog after; report: object_key, op_id, verdict: deleted, skipped-pending or blocked; intents: with append_all's columns.
+
+    A sweep is one intent for each member and first two digits of the ids, so that none grows with the store; their op_ids follow from run, so a rerun of a run that failed finds its own.
+    """
+    git = catalog.where("sync_mode = 'git'").groupBy("sha256").agg(F.max_by(F.struct("id", "member"), "path").alias("x")).select(F.col("sha256").alias("object_key"), "x.id", "x.member")
+    busy = wal.pending(log).select(F.explode("blob_refs").alias("id")).distinct().withColumn("busy", F.lit(True))
+    op = identity.op_id(F.lit("gc"), F.lit(run), F.col("member"), F.substring("id", 1, 2))
+    doomed = plan.where("verdict = 'eligible'").select("object_key").join(git, "object_key", "left").join(busy, "id", "left").withColumn("op_id", F.when(F.col("busy").isNull(), op))
+    ops = doomed.where("op_id is not null").groupBy("member", "op_id").agg(F.sort_array(F.collect_list("id")).alias("blob_refs"))
+    intents = wal.append_all(log, _intents(ops.withColumn("op_type", F.lit("gc")).withColumn("args", F.lit(None).cast("map<string,string>")), actor, created_at))
+    made = intents.select("member", "op_id", F.col("verdict").alias("v"))
+    v = F.when(F.col("busy"), "skipped-pending").when(F.col("v").isin("appended", "duplicate"), "deleted").otherwise("blocked")
+    report = doomed.join(made, ["member", "op_id"], "left").select("object_key", "op_id", v.alias("verdict"))
+    gone = report.where("verdict = 'deleted'").select(F.col("object_key").alias("sha256"))
+    return Outcome(gc.forget(catalog, gone), report, intents)
+
+
+def gc_retry(op: DataFrame, catalog: DataFrame) -> Outcome:
+    """A gc operation finished: op has its blob_refs. report: object_key of what is still to be deleted, for ids that the catalog still has; table: the catalog without their rows. Ids that are gone are done."""
+    ids = op.select(F.explode("blob_refs").alias("id")).distinct()
+    still = catalog.join(ids, "id", "left_semi")
+    return Outcome(catalog.join(still.select("member", "path"), ["member", "path"], "left_anti"), still.select(F.col("sha256").alias("object_key")).distinct())
+
+
+def move_across(catalog: DataFrame, moves: DataFrame, objects: DataFrame, log: DataFrame, actor: str = "mv", created_at: str = "1970-01-01T00:00:00Z") -> Outcome:
+    """The catalog after moves between members (member, path, to_member, to_path), journaled at both ends. objects: object_key, observed_sha as they arrived.
+
+    report: move's refusals, then no-bytes, corrupt (git keeps the bytes, and they aren't the recorded ones), blocked (an end's log takes no intent), rehomed (the bytes of a file that git doesn't keep have changed: the row
+    goes on under their hash, and their object with it) or moved. intents: the source's says where the file went, the destination's carries its whole record; ids never change.
+    """
+    plain = move(catalog, moves).report
+    c = catalog.select("member", "path", "id", "sha256", "sync_mode", "size", *identity.GENESIS)
+    j = plain.join(c, ["member", "path"], "left").join(objects.select(F.col("object_key").alias("sha256"), F.col("observed_sha").alias("arrived")), "sha256", "left")
+    v = F.when(F.col("verdict") != "moved", F.col("verdict")).when(F.col("arrived").isNull(), "no-bytes").when(F.col("arrived") == F.col("sha256"), "moved").when(F.col("sync_mode") == "manual", "rehomed").otherwise("corrupt")
+    j = j.withColumn("verdict", v).withColumn("op_id", identity.op_id(F.lit("mv"), F.col("id"), F.col("member"), F.col("to_member"), F.col("to_path")))
+    go = j.where("verdict in ('moved', 'rehomed')")
+    pair = lambda *kv: F.create_map(*[x for k, c in kv for x in (F.lit(k), F.col(c))])
+    src = go.select("member", "op_id", F.lit("move").alias("op_type"), F.array("id").alias("blob_refs"), pair(("path", "path"), ("moved_to", "to_member")).alias("args"))
+    dst = go.select(F.col("to_member").alias("member"), "op_id", F.lit("move").alias("op_type"), F.array("id").alias("blob_refs"), pair(("id", "id"), ("dest_path", "to_path"), ("sync_mode", "sync_mode"), ("sha256", "arrived"), *[(k, k) for k in identity.GENESIS]).alias("args"))
+    intents = wal.append_all(log, _intents(src.unionByName(dst), actor, created_at))
+    barred = intents.where("verdict not in ('appended', 'duplicate')").select("op_id", F.lit(True).alias("barred")).distinct()
+    j = j.join(barred, "op_id", "left").withColumn("verdict", F.when(F.col("verdict").isin("moved", "rehomed") & F.col("barred"), "blocked").otherwise(F.col("verdict")))
+    ok = j.where("verdict in ('moved', 'rehomed')").select("member", "path", "to_member", "to_path", "arrived")
+    t = catalog.join(ok, ["member", "path"], "left").withColumn("path", F.coalesce("to_path", "path")).withColumn("member", F.coalesce("to_member", "member")).withColumn("sha256", F.coalesce("arrived", "sha256"))
+    return Outcome(t.select(*catalog.columns), j.select("member", "path", "to_member", "to_path", "verdict"), intents)
+
+
+def apply_scan(catalog: DataFrame, disk: DataFrame, log: DataFrame, member: str, at_s: int, actor: str = "scan", created_at: str = "1970-01-01T00:00:00Z") -> Outcome:
+    """A member's catalog after a scan, journaled change by change: suspect files are skipped, verified ones only move their scan time, and of the others those whose file has an intent under way are skipped while the rest apply.
+
+    report: path, kind, verdict: applied, skipped-suspect, skipped-in-flight or skipped-chain-broken. catalog: of the member, with the record's fields and last_scanned_s. Op_ids follow from what changed, so a second run resumes the first.
+    """
+    found = scan.diff(catalog, disk).withColumn("op_id", identity.op_id(F.lit("scan"), F.lit(member), F.col("kind"), F.coalesce("old_path", "path"), F.col("path"), F.col("sha256")))
+    g = {"content_sha256": F.col("sha256"), "original_path": F.col("path"), "ingest_op_id": F.col("op_id"), "origin_node": F.lit(member)}
+    ops = scan.to_operations(found).select("path", "op_type", "args")
+    ids = catalog.select(F.col("path").alias("__at"), F.col("id").alias("__id"))
+    j = found.join(ops, "path", "left").join(ids, F.coalesce("old_path", "path") == F.col("__at"), "left").withColumn("id", F.coalesce("__id", identity.mint_id(g))).drop("__at", "__id")
+    intents = wal.append_all(log, _intents(j.where("op_type is not null").select(F.lit(member).alias("member"), "op_id", "op_type", F.array("id").alias("blob_refs"), "args"), actor, created_at))
+    v = F.when(F.col("kind") == "suspect", "skipped-suspect").when((F.col("kind") == "verified") | F.col("v").isin("appended", "duplicate"), "applied").otherwise(F.concat(F.lit("skipped-"), F.col("v")))
+    done = j.join(intents.select("op_id", F.col("verdict").alias("v")), "op_id", "left").withColumn("verdict", v)
+    ok = done.where("verdict = 'applied'")
+    seen = disk.select("path", F.col("size").alias("new_size"))
+    change = ok.where("kind <> 'added'").select(F.coalesce("old_path", "path").alias("path"), "kind", F.col("path").alias("new_path"), F.col("sha256").alias("new_sha"))
+    t = catalog.join(change, "path", "left").where("kind is null or kind <> 'deleted'")
+    t = t.withColumn("path", F.coalesce("new_path", "path")).withColumn("sha256", F.coalesce("new_sha", "sha256")).withColumn("last_scanned_s", F.when(F.col("kind").isNotNull(), F.lit(at_s).cast("long")).otherwise(F.col("last_scanned_s")))
+    t = t.join(seen, "path", "left").withColumn("size", F.when(F.col("kind").isNotNull(), F.coalesce("new_size", "size")).otherwise(F.col("size"))).select(*catalog.columns)
+    new = ok.where("kind = 'added'").join(seen, "path", "left")
+    made = {"member": F.lit(member), "path": F.col("path"), "id": F.col("id"), "sha256": F.col("sha256"), "size": F.col("new_size"), "sync_mode": F.lit("manual"), "last_scanned_s": F.lit(at_s).cast("long"), **g}
+    return Outcome(t.unionByName(new.select(*[made.get(c, F.lit(None).cast(catalog.schema[c].dataType)).alias(c) for c in catalog.columns])), done.select("path", "kind", "verdict"), intents)
+
+
+def bootstrap(listing: DataFrame, member: str, log: DataFrame) -> DataFrame:
+    """path, op_id, id, action of the ingest of a listing (path, sha256, size): done where the log has the operation as done, resume where it has it otherwise (its row and its marker are written again), new where not at all."""
+    op = identity.op_id(F.lit("ingest"), F.lit(member), F.col("path"), F.col("sha256"))
+    g = {"content_sha256": F.col("sha256"), "original_path": F.col("path"), "ingest_op_id": F.col("op_id"), "origin_node": F.lit(member)}
+    known = log.groupBy("op_id").agg(F.bool_or(F.col("state") == "done").alias("finished"))
+    j = listing.withColumn("op_id", op).join(known, "op_id", "left")
+    return j.select("path", "op_id", identity.mint_id(g).alias("id"), F.when(F.col("finished"), "done").when(F.col("finished").isNotNull(), "resume").otherwise("new").alias("action"))
+
+
+def init_vault(walked: DataFrame, hashes: DataFrame, member: str, log: DataFrame) -> DataFrame:
+    """bootstrap for what a walk kept (path, kept): its files with their hashes (path, sha256, size)."""
+    return bootstrap(hashes.join(walked.where("kept").select("path"), "path", "left_semi"), member, log)
+
+
+def federation_id(founder: Column, node: Column, actor: Column, created_at: Column) -> Column:
+    """A new federation's id: the hash of the entry that founds it, at seq 0 of an empty log. created_at: the time's text."""
+    args = F.create_map(F.lit("action"), F.lit("init"), F.lit("member"), founder, F.lit("node"), node)
+    return F.sha2(identity.wal_text({"seq": F.lit(0), "op_id": roster_op_id(F.lit(""), F.lit("init"), founder), "prev_hash": F.lit(wal.ZERO), "op_type": F.lit("roster"), "blob_refs": F.array().cast("array<string>"), "actor": actor, "created_at": created_at, "args": args}), 256)
+
+
+def roster_op_id(fed_id: Column, action: Column, target: Column) -> Column:
+    """The same for every write of one change, so that a second one is a duplicate."""
+    return identity.op_id(F.lit("fed-roster"), fed_id, action, target)
+
+
+def write_roster(rosters: DataFrame, observers: DataFrame, roster: DataFrame, catalogs: DataFrame, log: DataFrame, fed_id: str, action: str, target: str, actor: str = "fed", created_at: str = "1970-01-01T00:00:00Z") -> Outcome:
+    """The rosters (observer, fed_id, name, node, joined_at_s, status) after roster replaces the copies of observers (observer), each journaled in its own log. catalogs: member of those that have one.
+
+    report: observer, verdict: written, no-catalog, or what barred the intent: in-flight, chain-broken. A change that a log already has is written again, to the same rows.
+    """
+    op = roster_op_id(F.lit(fed_id), F.lit(action), F.lit(target))
+    o = observers.join(catalogs.select(F.col("member").alias("observer"), F.lit(True).alias("has")).distinct(), "observer", "left")
+    args = F.create_map(F.lit("action"), F.lit(action), F.lit("member"), F.lit(target), F.lit("fed_id"), F.lit(fed_id))
+    intents = wal.append_all(log, o.where("has").select(F.col("observer").alias("member"), F.lit(0).cast("long").alias("position"), op.alias("op_id"), F.lit("roster").alias("op_type"), F.array().cast("array<string>").alias("blob_refs"), F.lit(actor).alias("actor"), F.lit(created_at).alias("created_at"), args.alias("args")))
+    j = o.join(intents.select(F.col("member").alias("observer"), F.col("verdict").alias("v")), "observer", "left")
+    report = j.select("observer", F.when(F.col("has").isNull(), "no-catalog").when(F.col("v").isin("appended", "duplicate"), "written").otherwise(F.col("v")).alias("verdict"))
+    now = report.where("verdict = 'written'").select("observer")
+    copies = now.join(roster.select("name", "node", "joined_at_s", "status"), F.lit(True)).withColumn("fed_id", F.lit(fed_id))  # members times members
+    return Outcome(rosters.join(now, "observer", "left_anti").unionByName(copies.select(*rosters.columns)), report, intents)
+
+
+def join_federation(members: DataFrame, name: str, node: str, at_s: int) -> DataFrame:
+    """The roster (name, node, joined_at_s, status) with a member: one that is active stays as it is, so joining twice changes nothing; one that left or was evicted is active again from at_s."""
+    new = members.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(node).alias("node"), F.lit(at_s).cast("long").alias("joined_at_s"), F.lit("active").alias("status"))
+    stays = members.where((F.col("name") == name) & (F.col("status") == "active"))
+    return members.where((F.col("name") != name) | (F.col("status") == "active")).unionByName(new.join(stays.select("name"), "name", "left_anti").select(*members.columns))
+
+
+def verify(lock: DataFrame, versions: DataFrame, objects: DataFrame, findings: DataFrame) -> DataFrame:
+    """n_corrupt, n_missing, n_findings, exit_code of a whole verification: 5 for corrupt or missing objects, and the findings' own code; the worse counts."""
+    bad = locks.corrupt(objects).agg(F.count("*").alias("n_corrupt"))
+    gone = locks.missing(lock, versions, objects).agg(F.count("*").alias("n_missing"))
+    three = findings.agg(F.count("*").alias("n_findings"))
+    j = bad.join(gone, F.lit(True)).join(three, F.lit(True)).join(scan.worst(findings).withColumnRenamed("exit_code", "code"), F.lit(True))  # a row each
+    return j.select("n_corrupt", "n_missing", "n_findings", F.greatest(F.when((F.col("n_corrupt") > 0) | (F.col("n_missing") > 0), 5).otherwise(0), F.col("code")).alias("exit_code"))
+
+
+def pull(tree: DataFrame, lock: DataFrame, resolved: DataFrame, members: DataFrame, objects: DataFrame) -> DataFrame:
+    """path, verdict, member, warning, exit_code for each live entry of a lock (path, id, sha256, location): current where the tree has it, else as resolve_entries says where from, and there no-bytes, corrupt or fetched."""
+    live = lock.where("not deleted")
+    have = tree.select("path", "sha256", F.lit(True).alias("have"))
+    from_ = federation.resolve_entries(live, resolved, members)
+    j = live.select("path", "sha256").join(have, ["path", "sha256"], "left").join(from_, "path").join(objects.select(F.col("object_key").alias("sha256"), "observed_sha"), "sha256", "left")
+    v = F.when(F.col("have"), "current").when(F.col("member").isNull(), "unresolved").when(F.col("observed_sha").isNull(), "no-bytes").when(F.col("observed_sha") != F.col("sha256"), "corrupt").otherwise("fetched")
+    code = F.when(v.isin("current", "fetched"), 0).when((v == "unresolved") & (F.col("warning") != "unresolved-missing"), 6).otherwise(5)
+    return j.select("path", v.alias("verdict"), F.when(~F.coalesce("have", F.lit(False)), F.col("member")).alias("member"), F.when(~F.coalesce("have", F.lit(False)), F.col("warning")).alias("warning"), code.alias("exit_code"))
+
+
+def stat(catalog: DataFrame, resolved: DataFrame, objects: DataFrame) -> DataFrame:
+    """id, member, path, sync_mode, size, outcome, freshness of resolved files: fresh, drifted or unknown by the bytes at the member that has them."""
+    j = resolved.select("id", "outcome", "member").join(catalog.select("id", "member", "path", "sync_mode", "size", "sha256"), ["id", "member"], "left").join(objects.select(F.col("object_key").alias("sha256"), "observed_sha"), "sha256", "left")
+    fresh = F.when(F.col("observed_sha").isNull(), "unknown").when(F.col("observed_sha") == F.col("sha256"), "fresh").otherwise("drifted")
+    return j.select("id", "member", "path", "sync_mode", "size", "outcome", fresh.alias("freshness"))
+
+
+def repo_track(include: list[str], wanted: list[str], tree: DataFrame) -> tuple[list[str], DataFrame]:
+    """The include list with the globs wanted that it lacks, and path of the files that these match. All globs are read before any is added: a bad one changes nothing."""
+    for g in wanted:
+        globs.to_regex(g)
+    return [*include, *dict.fromkeys(g for g in wanted if g not in include)], tree.where(globs.any_match(wanted, F.col("path"))).select("path")

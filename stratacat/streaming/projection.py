@@ -13,13 +13,20 @@ from stratacat.operators.projection import CATALOG, COLUMNS, Fold
 LOG = "member string, seq long, op_id string, op_type string, blob_refs array<string>, args map<string,string>, created_at timestamp, state string"
 
 
+#: Of an entry's states the later counts; done stays done.
+RANK = {"intent": 0, "failed": 1, "done": 2}
+
+
 def read_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """The log's Parquet files as a stream; an operation that comes twice counts once."""
-    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(path).dropDuplicates(["member", "op_id"])
+    """The log's Parquet files as a stream. An entry may come again, as it was or with its later state: the fold takes each once."""
+    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _fold_batch(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-    """State: the catalog's rows, the next seq and what came early. Entries apply in the order of seq without a gap; the changed catalog goes out whole."""
+    """State: the catalog's rows, the next seq and what came early. Entries apply in the order of seq without a gap; the changed catalog goes out whole.
+
+    An entry that is still an intent holds up those after it until it comes again as done or failed. Entries before the next seq have been taken and don't count again, so nothing else is remembered of them.
+    """
     import json
 
     member = key[0]
@@ -28,9 +35,9 @@ def _fold_batch(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[p
     waiting = {e[0]: e for e in early}
     for pdf in frames:
         for r in pdf.itertuples(index=False):
-            if r.seq >= due:
+            if r.seq >= due and (int(r.seq) not in waiting or RANK[r.state] > RANK[waiting[int(r.seq)][6]]):
                 waiting[int(r.seq)] = [int(r.seq), r.op_id, r.op_type, list(r.blob_refs if r.blob_refs is not None else ()), dict(r.args or ()), str(r.created_at), r.state]
-    while due in waiting:
+    while due in waiting and waiting[due][6] != "intent":
         _, op_id, op, refs, args, at, done = waiting.pop(due)
         if done == "done":
             fold.apply(op, args, refs, op_id, at)

@@ -91,3 +91,23 @@ def test_a_glob_is_bad_or_a_regex(glob):
 def test_globs(glob, yes, no):
     rx = re.compile(globs.to_regex(glob))
     assert all(map(rx.search, yes)) and not any(map(rx.search, no))
+
+
+def test_small_functions(spark):
+    one = spark.range(1)
+    v = lambda c: one.select(c).first()[0]
+    lit = F.lit
+    assert re.fullmatch("[0-9a-f]{12}4[0-9a-f]{3}[89ab][0-9a-f]{15}", v(scalars.random_op_id()))
+    assert [v(scalars.exit_of(lit(k).cast("string"))) for k in (None, "network-down", "node-offline", "object-missing", "chain-broken", "auth-required", "odd")] == [0, 3, 4, 5, 6, 2, 1]
+    assert v(scalars.rfc3339(lit("2024-05-06 07:08:09.9").cast("timestamp"))) == "2024-05-06T07:08:09Z" and v(scalars.rfc3339(lit(None).cast("timestamp"))) == ""
+    assert [v(scalars.conflict_mode(lit(a))) for a in (" C", "copy", "r", "Rename", "s", "", "x")] == ["copy", "copy", "rename", "rename", "stop", "stop", "stop"]
+    assert [v(scalars.is_yes(lit(a))) for a in ("Y", "yes ", "no", "")] == [True, True, False, False]
+    assert v(scalars.status_verb(lit("left"))) == "left" and v(scalars.member_names(F.array().cast("array<string>"))) == "an unknown member" and v(scalars.member_names(F.array(lit("a"), lit("b")))) == "a, b"
+    assert [v(scalars.pusher(lit(a), lit(b))) for a, b in (("n", "e"), ("@", "e"), ("", ""))] == ["n", "e", "unknown"] and v(scalars.actor(lit("@"), lit("e"))) == "@"
+    assert v(scalars.with_include(F.array(lit("a")), lit("a"))) == ["a"] and v(scalars.with_include(F.array(lit("a")), lit("b"))) == ["a", "b"]
+    want = F.array(lit(" x "), lit("a"), lit("x"))
+    assert v(scalars.with_lines(lit("a\nb"), want)) == "a\nb\nx\n" and v(scalars.with_lines(lit(""), want)) == "x\na\n" and v(scalars.with_lines(lit("x \na\n"), want)) == "x \na\n"
+    mode = lambda args, *flags: v(scalars.track_mode(F.array(*map(lit, args)), *map(lit, flags)))
+    assert [mode(["l/p"], False, False, True, False), mode(["l/p"], False, False, True, True), mode(["l/p"], True, True, True, True), mode(["a", "b"], False, False, True, False), mode(["x"], True, False, False, True)] == ["vault", "ambiguous", "both-flags", "repo", "vault"]
+    g = {k: lit("a" * 64 if k == "content_sha256" else "x") for k in identity.GENESIS}
+    assert v(identity.guarded_id(g))[:] == (v(identity.mint_id(g)), None) and v(identity.guarded_id(g | {"origin_node": lit("")})).problem == "origin_node"
