@@ -59,7 +59,11 @@ def to_regex(glob: str) -> str:
             i += 1
     if depth:
         raise BadGlob(f"{glob}: {{ has no end")
-    return f"^{''.join(out)}$"
+    try:
+        re.compile(made := f"^{''.join(out)}$")
+    except re.error as e:  # a range that runs backwards
+        raise BadGlob(f"{glob}: {e}") from e
+    return made
 
 
 def has_meta(text: Column) -> Column:
