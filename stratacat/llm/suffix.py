@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ PIECE = 1 << 20  # window starts that are searched at once; positions take 20 bi
 NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
+#: The bits of a hash that count. Fewer bits make hashes lie more often, and no result change: for tests.
+MASK = (1 << 64) - 1
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -51,14 +54,32 @@ class Hashes:
         return out
 
 
-def anchors(x: np.ndarray, h: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of LENGTH-byte windows of x that choose the same anchor: the anchor's hash, the hash of all the run's bytes, the first and last window, the anchor.
+class Hot:
+    """A list of gram hashes, asked for many at once: a table of bits first, and the sorted list for what that lets through."""
 
-    A window's anchor is its GRAM bytes with the least hash, the first of equals: it depends on the window's bytes alone, so equal windows have equal anchors at the same place in them.
+    def __init__(self, grams: np.ndarray) -> None:
+        self.grams, self.table = np.sort(grams.astype(U)), np.zeros(1 << 20, dtype=bool)
+        self.table[(self.grams >> U(44)).astype(np.int64)] = True
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=bool)
+        if len(self.grams):
+            at = np.flatnonzero(self.table[(x >> U(44)).astype(np.int64)])
+            i = np.minimum(np.searchsorted(self.grams, x[at]), len(self.grams) - 1)
+            out[at] = self.grams[i] == x[at]
+        return out
+
+
+def anchors(x: np.ndarray, h: Hashes, hot: Hot | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of LENGTH-byte windows of x that choose the same anchor: the anchor's hash, the first and last window, the anchor, and whether it is hot.
+
+    A window's anchor is its GRAM bytes with the least hash, the first of equals, and hot grams only where it has no other: it depends on the window's bytes alone, so equal windows have equal
+    anchors at the same place in them.
     """
     p, n, reach = h.prefixes(x), len(x), LENGTH - GRAM + 1
     gram = mixed((p[GRAM:] - p[:-GRAM]) * h.down[: n - GRAM + 1])
-    value = (gram & ~U(PIECE * 2 - 1)) | np.arange(len(gram), dtype=U)
+    is_hot = hot(gram) if hot is not None else np.zeros(len(gram), dtype=bool)
+    value = (((gram >> U(1)) | (is_hot.astype(U) << U(63))) & ~U(PIECE * 2 - 1)) | np.arange(len(gram), dtype=U)
     rows = np.concatenate([value, np.full(-len(value) % reach, ~U(0))]).reshape(-1, reach)
     ahead, behind = np.minimum.accumulate(rows, axis=1).ravel(), np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - LENGTH + 1
@@ -66,8 +87,14 @@ def anchors(x: np.ndarray, h: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarra
     cut = np.flatnonzero(np.diff(at)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [m - 1]])
     a = at[first]
-    shape = ((a - first) * 256 + (last - first)).astype(U)
-    return gram[a], mixed((p[last + LENGTH] - p[first]) * h.down[first]) ^ mixed(shape + U(BASE)), first, last, a
+    return gram[a] & U(MASK), first, last, a, is_hot[a]
+
+
+def digests(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """BLAKE2b of all the bytes of each run of windows, 128 bits as two numbers. Nobody knows two strings with the same: runs of one digest are the same bytes."""
+    data = x.tobytes()
+    each = b"".join([hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
+    return np.frombuffer(each, dtype=np.int64).reshape(-1, 2)
 
 
 def common_extension(p: np.ndarray, down: np.ndarray, i: tuple, j: tuple, most: np.ndarray) -> np.ndarray:
@@ -77,7 +104,7 @@ def common_extension(p: np.ndarray, down: np.ndarray, i: tuple, j: tuple, most:
     pi, pj, di, dj = p[ri, oi], p[rj, oj], down[oi], down[oj]
     while (lo < hi).any():
         mid = (lo + hi + 1) // 2
-        same = (p[ri, oi + mid] - pi) * di == (p[rj, oj + mid] - pj) * dj
+        same = mixed((p[ri, oi + mid] - pi) * di) & U(MASK) == mixed((p[rj, oj + mid] - pj) * dj) & U(MASK)
         lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
     return lo
 
@@ -131,7 +158,8 @@ def repeated_windows(group: np.ndarray, data: list[bytes], anchor: np.ndarray, h
     """For each row of data, whether its window at each start also stands in another row of its group with the anchor at the same place. anchor: its offset in the row.
 
     Windows whose hash occurs once are out. Of each run of others, the suffix at its start is sorted with those of its group at the same distance from the anchor; the longer of the
-    common extensions with its two neighbours, confirmed byte by byte, settles so many windows, and the run goes on after them.
+    common extensions with its two neighbours settles so many windows, and the run goes on after them. All neighbours are confirmed byte by byte, their extension and their order;
+    where a hash has lied, the windows are compared as they are instead.
     """
     size = np.array([len(d) for d in data])
     wide = int(size.max())
@@ -141,12 +169,13 @@ def repeated_windows(group: np.ndarray, data: list[bytes], anchor: np.ndarray, h
     p = h.prefixes(x)
     m = wide - LENGTH + 1
     there = np.arange(m)[None, :] <= (size - LENGTH)[:, None]
-    key = mixed((p[:, LENGTH:] - p[:, :-LENGTH]) * h.down[:m]) ^ mixed((group[:, None] * 512 + anchor[:, None] - np.arange(m)[None, :]).astype(U))
+    key = (mixed((p[:, LENGTH:] - p[:, :-LENGTH]) * h.down[:m]) & U(MASK)) ^ mixed((group[:, None] * 512 + anchor[:, None] - np.arange(m)[None, :]).astype(U))
     _, back, counts = np.unique(key[there], return_inverse=True, return_counts=True)
     twice = np.zeros_like(there)
     twice[there] = counts[back] > 1
     found, open_ = np.zeros_like(there), twice.copy()
     place = group[:, None] * 512 + anchor[:, None] - np.arange(m)[None, :]  # of equal strings of a group, the same
+    span = np.arange(wide)[None, :]
     while open_.any():
         begins = open_.copy()
         begins[:, 1:] &= ~open_[:, :-1]
@@ -157,15 +186,16 @@ def repeated_windows(group: np.ndarray, data: list[bytes], anchor: np.ndarray, h
         order = suffix_sort(x, p, h.down, row, off, size, segment)
         r, o = row[order], off[order]
         most = np.minimum(size[r[1:]] - o[1:], size[r[:-1]] - o[:-1])
-        ext = np.where(segment[1:] == segment[:-1], common_extension(p, h.down, (r[1:], o[1:]), (r[:-1], o[:-1]), most), 0)
+        within = segment[1:] == segment[:-1]
+        ext = np.where(within, common_extension(p, h.down, (r[1:], o[1:]), (r[:-1], o[:-1]), most), 0)
         for lo in range(0, len(ext), 1 << 14):  # the hashes may lie, the bytes don't
-            k = np.flatnonzero(ext[lo : lo + (1 << 14)] >= LENGTH) + lo
-            if len(k):
-                span = np.arange(wide)[None, :]
-                inside = span < ext[k][:, None]
-                at = lambda rr, oo: x[rr[:, None], np.minimum(oo[:, None] + span, wide - 1)]
-                wrong = (at(r[k], o[k]) != at(r[k + 1], o[k + 1])) & inside
-                ext[k] = np.where(wrong.any(axis=1), wrong.argmax(axis=1), ext[k])
+            k = np.flatnonzero(within[lo : lo + (1 << 14)]) + lo
+            e = ext[k][:, None]
+            before, after = (x[r[i][:, None], np.minimum(o[i][:, None] + span, wide - 1)] for i in (k, k + 1))
+            ended = (e[:, 0] == most[k]) & (size[r[k]] - o[k] <= size[r[k + 1]] - o[k + 1])
+            at = np.minimum(e, wide - 1)
+            if ((before != after) & (span < e)).any() or not (ended | (np.take_along_axis(before, at, 1) < np.take_along_axis(after, at, 1))[:, 0]).all():
+                return plain_windows(group, data, anchor, m)
         best = np.maximum(np.concatenate([[0], ext]), np.concatenate([ext, [0]]))
         settled = np.zeros((len(data), m + 1), dtype=np.int64)
         np.add.at(settled, (r, o), 1)
@@ -176,6 +206,19 @@ def repeated_windows(group: np.ndarray, data: list[bytes], anchor: np.ndarray, h
     return found
 
 
+def plain_windows(group: np.ndarray, data: list[bytes], anchor: np.ndarray, m: int) -> np.ndarray:
+    """What repeated_windows returns, by the windows' bytes alone. m: the most windows that a row has."""
+    places: dict[tuple, list[tuple[int, int]]] = {}
+    for i, d in enumerate(data):
+        for k in range(len(d) - LENGTH + 1):
+            places.setdefault((int(group[i]), int(anchor[i]) - k, d[k : k + LENGTH]), []).append((i, k))
+    found = np.zeros((len(data), m), dtype=bool)
+    for at in places.values():
+        if len(at) > 1:
+            found[tuple(zip(*at, strict=True))] = True
+    return found
+
+
 def intervals(flags: np.ndarray, first: int) -> list[tuple[int, int]]:
     """Byte ranges that windows starting at first + the places of true flags cover, those that touch joined."""
     at = np.flatnonzero(flags)
@@ -186,8 +229,8 @@ def intervals(flags: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(int(b) + first, int(e) + first) for b, e in zip(begin, end, strict=True)]
 
 
-_ANCHORS = "key long, seg long, k1 long, k2 long, first long, packed int"
-_FOUND = "k1 long, k2 long, kind int, key long, first long, packed int"
+_ANCHORS = "kind int, key long, seg long, seg2 long, k1 long, k2 long, first long, packed int"
+_FOUND = "kind int, key long, k1 long, k2 long, first long, packed int"
 _PLACES = "kind int, key long, seg long, k1 long, k2 long, first long, packed int, data binary"
 _SPANS = "k1 long, k2 long, begin long, end long"
 
@@ -201,100 +244,101 @@ def _fields(ddl: str) -> list[tuple[str, pa.DataType]]:
     return [(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> the anchors of their windows, in pieces of PIECE windows, so that a long text takes no more memory."""
-    h = Hashes(PIECE + LENGTH)
-    for b in batches:
-        for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            x = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-            for lo in range(0, len(x) - LENGTH + 1, PIECE):
-                key, seg, first, last, a = anchors(x[lo : lo + PIECE + LENGTH - 1], h)
-                n = len(key)
-                yield _batch(_fields(_ANCHORS), key.view(np.int64), seg.view(np.int64), np.full(n, k1), np.full(n, k2), first + lo, ((last - first) << 8 | (a - first)).astype(np.int32))
+def _scan(hot: np.ndarray, held: int = 1 << 15):  # noqa: ANN202
+    """Texts -> the anchors of their windows (kind 1), in pieces of PIECE windows, so that a long text takes no more memory.
+
+    Of runs with a hot anchor a task sends the first and knows it again: another one with the same bytes is a repeat, and so is the first (kind 0). The task remembers `held` such runs at most; what it has forgotten it sends again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, is_hot = Hashes(PIECE + LENGTH), Hot(hot)
+        seen: dict[bytes, list] = {}
+        for b in batches:
+            for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                x = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                for lo in range(0, len(x) - LENGTH + 1, PIECE):
+                    y = x[lo : lo + PIECE + LENGTH - 1]
+                    key, first, last, a, many = anchors(y, h, is_hot)
+                    seg, n = digests(y, first, last), len(key)
+                    kind, packed = np.ones(n, dtype=np.int32), ((last - first) << 8 | (a - first)).astype(np.int32)
+                    told: list[tuple] = []
+                    for i in np.flatnonzero(many).tolist():
+                        part = y[first[i] : last[i] + LENGTH].tobytes()
+                        if (e := seen.get(part)) is None:
+                            if len(seen) >= held:
+                                seen.clear()
+                            seen[part] = [(k1, k2, int(first[i]) + lo, int(packed[i])), False]
+                            continue
+                        kind[i] = 0
+                        if not e[1]:
+                            told.append(e[0])
+                            e[1] = True
+                    yield _batch(_fields(_ANCHORS), kind, key.view(np.int64), seg[:, 0], seg[:, 1], np.full(n, k1), np.full(n, k2), first + lo, packed)
+                    if told:
+                        zero = [0] * len(told)
+                        yield _batch(_fields(_ANCHORS), zero, zero, zero, zero, *map(list, zip(*told, strict=True)))
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, one_in: int = 16, often: int = 16, most: int = 1 << 16) -> np.ndarray:
+    """Hashes of grams that anchor `often` runs or more in one of `one_in` texts, the most frequent `most` at most. They decide who meets whom, and no result: any list is right."""
+    some = texts.where(F.pmod("k2", F.lit(one_in)) == 0).mapInArrow(_scan(np.zeros(0, dtype=U)), _ANCHORS)
+    top = some.groupBy("key").count().where(F.col("count") >= often).orderBy(F.desc("count"), "key").limit(most).select("key").toArrow()
+    return top["key"].to_numpy().view(U)
 
 
 def _sift(most: int):  # noqa: ANN202
-    """Anchors sorted by key and seg -> kind 0: all windows of the run occur elsewhere too; 1: to be looked at with its group; 2: as 1, in a group of more than most.
+    """Anchors sorted by kind, key and digest -> kind 0: a repeat, as it came or because another run has its digest; 1: to be looked at with the other runs of its key, of equal runs only one; 2: as 1, of more than most.
 
-    A key that occurs once is out. Runs that are equal as a whole need no second look, but one of them stands for the others where the key has other runs. Rows pass in order;
-    of a group no more than most are held.
+    A key with one run is out. Of a key no more than most rows are held, however many copies a run has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, crowded, first_row, run_len, last, standing = None, [], False, None, 0, None, None
-        out: list[list] = []
-
-        def place(row: tuple, kind: int) -> None:
-            out.append((row[2], row[3], kind, row[0], row[4], row[5]))
-
-        def look(row: tuple) -> None:
-            """row needs a look with its group."""
-            nonlocal crowded, held
-            if crowded:
-                place(row, 2)
-                return
-            held.append(row)
-            if len(held) > most:
-                crowded = True
-                for r in held:
-                    place(r, 2)
-                held = []
-
-        def end_run() -> None:
-            """The run of equal segs that last ends is over."""
-            nonlocal standing
-            if run_len == 1:
-                look(last)
-            elif run_len > 1:
-                look(last)
-
-        def end_key(n_runs: int) -> None:
-            nonlocal held, crowded
-            if n_runs > 1:
-                for r in held:
-                    place(r, 1)
-            held, crowded = [], False
-
-        n_runs = 0
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            k, s = cols[0], cols[1]
-            # A key within the batch that neither neighbour shares is out without a look, but for the ends of the batch.
-            alone = np.ones(len(k), dtype=bool)
-            same = k[1:] == k[:-1]
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-            if len(k):
-                alone[0] = alone[-1] = False
-            for row in zip(*(c[~alone].tolist() for c in cols), strict=True):
-                if row[0] != key:
-                    if key is not None:
-                        end_run()
-                        end_key(n_runs)
-                    key, last, run_len, n_runs = row[0], row, 1, 1
-                elif row[1] != last[1]:
-                    end_run()
-                    last, run_len, n_runs = row, 1, n_runs + 1
-                else:
-                    if run_len == 1:
-                        place(last, 0)
-                    place(row, 0)
-                    run_len += 1
-                    last = row
-            if out:
-                yield _batch(_fields(_FOUND), *map(list, zip(*out, strict=True)))
-                out.clear()
-        if key is not None:
-            end_run()
-            end_key(n_runs)
-        if out:
-            yield _batch(_fields(_FOUND), *map(list, zip(*out, strict=True)))
+        none = np.zeros((5, 0), dtype=np.int64)  # key, k1, k2, first, packed
+        held, last, crowded = none, None, None
+
+        def out(kind: int, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if c.shape[1]:
+                yield _batch(_fields(_FOUND), np.full(c.shape[1], kind), *c)
+
+        for b in chain(batches, [None]):
+            new = none
+            if b is not None:
+                cols = np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+                rows = cols[[1, 4, 5, 6, 7]]
+                yield from out(0, rows[:, cols[0] == 0])
+                cols, rows = cols[1:4, cols[0] == 1], rows[:, cols[0] == 1]
+                if rows.shape[1]:
+                    same = (cols[:, 1:] == cols[:, :-1]).all(axis=0)
+                    before = np.r_[last is not None and bool((last[0] == cols[:, 0]).all()), same]
+                    if before[0] and not last[2]:
+                        yield from out(0, last[1])
+                    twice = before | np.r_[same, False]
+                    yield from out(0, rows[:, twice])
+                    last = (cols[:, -1], rows[:, -1:], bool(twice[-1]))  # the run may go on: whether it has been told
+                    new = rows[:, ~before]
+            if crowded is not None:
+                yield from out(2, new[:, new[0] == crowded])
+                new = new[:, new[0] != crowded]
+            held = np.concatenate([held, new], axis=1)
+            starts = np.flatnonzero(np.r_[True, held[0, 1:] != held[0, :-1]]) if held.shape[1] else np.zeros(0, dtype=np.int64)
+            end = held.shape[1] if b is None or not len(starts) else starts[-1]  # the last key may go on
+            sizes = np.diff(np.r_[starts, held.shape[1]])
+            of = np.repeat(sizes, sizes)[:end]
+            yield from out(1, held[:, :end][:, (of > 1) & (of <= most)])
+            yield from out(2, held[:, :end][:, of > most])
+            held = held[:, end:]
+            if held.shape[1] > most:
+                crowded = int(held[0, 0])
+                yield from out(2, held)
+                held = none
 
     return run
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their places of kind 1 and 2 -> the bytes of each place, or for kind 2 a row for each window: two hashes and where it starts."""
+    """Texts with their places of kind 1 and 2 -> the bytes of each place, or for kind 2 a row for each window: two hashes, where it starts and its bytes."""
     h = Hashes(LENGTH + 512)
     other = Hashes(LENGTH + 512)
     other.up, other.down = powers(0xC2B2AE3D27D4EB4F, LENGTH + 512), powers(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64), LENGTH + 512)
@@ -310,7 +354,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 x = np.frombuffer(part, dtype=np.uint8)
                 one, two = (mixed((p[LENGTH:] - p[:-LENGTH]) * g.down[: more + 1]).view(np.int64).tolist() for g in (h, other) for p in (g.prefixes(x),))
-                out += [(2, a, c, k1, k2, first + i, 0, None) for i, (a, c) in enumerate(zip(one, two, strict=True))]
+                out += [(2, a, c, k1, k2, first + i, 0, part[i : i + LENGTH]) for i, (a, c) in enumerate(zip(one, two, strict=True))]
             if len(out) > 2000:
                 yield _batch(_fields(_PLACES), *map(list, zip(*out, strict=True)))
                 out = []
@@ -319,12 +363,12 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places sorted by kind, key and seg -> the spans of text whose windows occur elsewhere. Whole groups of kind 1 are taken some thousand places at a time; of kind 2, equal neighbours count."""
+    """Places sorted by kind, key and seg -> the spans of text whose windows occur elsewhere. Whole groups of kind 1 are taken some thousand places at a time; of kind 2, windows of equal hashes and bytes count."""
     h = Hashes(LENGTH + 512)
     held: list[tuple] = []
     spans: list[tuple] = []
     last: tuple | None = None
-    told = False
+    same: dict[bytes, tuple | None] = {}  # of one pair of hashes: bytes -> the first row, None once it has been told
 
     def settle(rows: list[tuple]) -> None:
         if len(rows) < 2:
@@ -342,12 +386,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held = []
                 held.append(row)
                 continue
-            if last is not None and last[1:3] == row[1:3]:
-                spans += [(x[3], x[4], x[5], x[5] + LENGTH) for x in ([row] if told else [last, row])]
-                told = True
-            else:
-                told = False
+            if last is None or last[1:3] != row[1:3]:
+                same.clear()
             last = row
+            if row[7] not in same:
+                same[row[7]] = row
+                continue
+            first, same[row[7]] = same[row[7]], None
+            spans += [(x[3], x[4], x[5], x[5] + LENGTH) for x in (first, row) if x]
         if spans:
             yield _batch(_fields(_SPANS), *map(list, zip(*spans, strict=True)))
             spans = []
@@ -371,13 +417,16 @@ def remove_repeats(docs: DataFrame, most: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, removed (an array of begin, end in bytes) and kept (the remaining bytes) of every row of docs: without each byte that a LENGTH-byte string covers which starts anywhere else too.
 
     Each window of LENGTH bytes belongs to an anchor in it (one in 70 bytes or so); only anchors' hashes are shuffled. Windows around anchors that occur once are unique. Where all the windows of
-    a run of two anchors are the same bytes, both are repeats. What is left, the edges of repeats, goes with its bytes to the group of its anchor, where suffix sorting settles
-    each window; groups of more than `most` places are instead settled window by window through a second hash, in order, so that no task holds a group. Texts are shuffled once, by row.
+    two runs have one 128-bit digest, both are repeats. One run of each digest goes
+    with its bytes to the group of its anchor, where suffix sorting settles each window, every neighbour confirmed byte by byte. Grams that anchor many texts are found in a sample
+    and chosen only by windows that have no other, so a common passage's edges meet nobody by it; and its inside is compared where it is read, so that a task sends it once.
+    Groups that still have more than `most` places go window by window, hashes and bytes, to as many tasks as there are windows. Texts are shuffled once, by row.
     A null text has no bytes. Rows are told apart by doc_id and text hash; those that repeat both are equal anyway, and repeat each other.
     """
     k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"])
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
-    found = texts.mapInArrow(_scan, _ANCHORS).repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_sift(most), _FOUND)
+    scanned = texts.mapInArrow(_scan(hot_anchors(texts)), _ANCHORS).repartition(F.when(F.col("kind") == 0, F.xxhash64("k1", "k2", "first")).otherwise(F.col("key")))
+    found = scanned.sortWithinPartitions("kind", "key", "seg", "seg2").mapInArrow(_sift(most), _FOUND)
     look = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "key", "first", "packed")).alias("places"))
     places = texts.join(look.hint("shuffle_merge"), ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_cut_out, _PLACES)
     edges = places.repartition("key").sortWithinPartitions("kind", "key", "seg").mapInArrow(_settle, _SPANS)

@@ -41,12 +41,46 @@ def repeated_texts(rng):
     return texts
 
 
+def removed(spark, texts, **how):
+    out = suffix.remove_repeats(docs(spark, texts).withColumn("key", F.lit(1)), **how).collect()
+    return {r.doc_id: (r.n_bytes, sum(x.end - x.begin for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in out}
+
+
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_removal_equals_brute_force(spark, most):
     texts = repeated_texts(random.Random(8))
-    out = suffix.remove_repeats(docs(spark, texts).withColumn("key", F.lit(1)), most).collect()
-    got = {r.doc_id: (r.n_bytes, sum(x.end - x.begin for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in out}
-    assert got == dict(enumerate(suffix.brute(texts)))
+    assert removed(spark, texts, most=most) == dict(enumerate(suffix.brute(texts)))
+
+
+@pytest.mark.parametrize("mask", [0xFF, 0xFFFF])
+@pytest.mark.parametrize("most", [20_000, 30])
+def test_removal_where_hashes_collide(spark, monkeypatch, mask, most):
+    monkeypatch.setattr(suffix, "MASK", mask)
+    texts = repeated_texts(random.Random(21))
+    assert removed(spark, texts, most=most) == dict(enumerate(suffix.brute(texts)))
+
+
+def test_removal_of_a_passage_that_all_share(spark):
+    """Many texts with the same passage in different surroundings, copies and near copies of one text: the passage's anchors are hot."""
+    rng = random.Random(22)
+    make = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    passage, other, text = make(900), make(260), make(1500)
+    texts = [make(rng.randrange(300)) + passage + make(rng.randrange(300)) + (other if rng.random() < 0.3 else "") for _ in range(600)]
+    texts += [text] * 300 + [text[: (i := rng.randrange(1400))] + "#" + text[i + 1 :] for _ in range(300)]
+    keys = docs(spark, texts).select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), "text")
+    assert len(suffix.hot_anchors(keys)) > 10
+    assert removed(spark, texts) == dict(enumerate(suffix.brute(texts)))
+
+
+def test_removal_of_many_equal_rows_takes_time_by_rows(spark):
+    import time
+
+    rng = random.Random(23)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    d = spark.createDataFrame([(None, text)] * 5000, DOCS)
+    began = time.perf_counter()
+    assert suffix.remove_repeats(d).agg(F.sum(F.length("kept")), F.count("*")).first()[:] == (0, 5000)
+    assert time.perf_counter() - began < 30
 
 
 def test_removal_of_rows_without_ids_and_of_none(spark):
