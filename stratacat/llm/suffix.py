@@ -281,11 +281,35 @@ def _scan(hot: np.ndarray, held: int = 1 << 15):  # noqa: ANN202
     return run
 
 
-def hot_anchors(texts: DataFrame, one_in: int = 16, often: int = 16, most: int = 1 << 16) -> np.ndarray:
-    """Hashes of grams that anchor `often` runs or more in one of `one_in` texts, the most frequent `most` at most. They decide who meets whom, and no result: any list is right."""
-    some = texts.where(F.pmod("k2", F.lit(one_in)) == 0).mapInArrow(_scan(np.zeros(0, dtype=U)), _ANCHORS)
-    top = some.groupBy("key").count().where(F.col("count") >= often).orderBy(F.desc("count"), "key").limit(most).select("key").toArrow()
-    return top["key"].to_numpy().view(U)
+def _grams_around(hot: np.ndarray):  # noqa: ANN202
+    """Texts -> the hashes of all grams of the runs that have a hot anchor, once a text and piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, is_hot = Hashes(PIECE + LENGTH), Hot(hot)
+        for b in batches:
+            for text in b.column(2):
+                x = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                for lo in range(0, len(x) - LENGTH + 1, PIECE):
+                    y = x[lo : lo + PIECE + LENGTH - 1]
+                    key, first, last, _, _ = anchors(y, h)
+                    many = is_hot(key)
+                    if many.any():
+                        near = np.zeros(len(y) + 1, dtype=np.int64)
+                        np.add.at(near, first[many], 1)
+                        np.add.at(near, last[many] + LENGTH - GRAM + 1, -1)
+                        p = h.prefixes(y)
+                        at = np.flatnonzero(np.cumsum(near)[: len(y) - GRAM + 1] > 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.unique(mixed((p[at + GRAM] - p[at]) * h.down[at]).view(np.int64)))], names=["key"])
+
+    return run
+
+
+def hot_grams(texts: DataFrame, one_in: int = 16, often: int = 16, most: int = 1 << 17) -> np.ndarray:
+    """Hashes of grams around anchors that `often` runs or more have in one of `one_in` rows: those in `often` texts of these or more, the most frequent `most` at most. They decide who meets whom, and no result: any list is right."""
+    some = texts.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(one_in)) == 0)
+    top = lambda keys: keys.groupBy("key").count().where(F.col("count") >= often).orderBy(F.desc("count"), "key").limit(most).select("key").toArrow()["key"].to_numpy().view(U)
+    found = top(some.mapInArrow(_scan(np.zeros(0, dtype=U)), _ANCHORS))
+    return top(some.mapInArrow(_grams_around(found), "key long")) if len(found) else found
 
 
 def _sift(most: int):  # noqa: ANN202
@@ -418,14 +442,14 @@ def remove_repeats(docs: DataFrame, most: int = 20_000) -> DataFrame:
 
     Each window of LENGTH bytes belongs to an anchor in it (one in 70 bytes or so); only anchors' hashes are shuffled. Windows around anchors that occur once are unique. Where all the windows of
     two runs have one 128-bit digest, both are repeats. One run of each digest goes
-    with its bytes to the group of its anchor, where suffix sorting settles each window, every neighbour confirmed byte by byte. Grams that anchor many texts are found in a sample
+    with its bytes to the group of its anchor, where suffix sorting settles each window, every neighbour confirmed byte by byte. The grams of common passages are found in a sample
     and chosen only by windows that have no other, so a common passage's edges meet nobody by it; and its inside is compared where it is read, so that a task sends it once.
     Groups that still have more than `most` places go window by window, hashes and bytes, to as many tasks as there are windows. Texts are shuffled once, by row.
     A null text has no bytes. Rows are told apart by doc_id and text hash; those that repeat both are equal anyway, and repeat each other.
     """
     k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"])
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
-    scanned = texts.mapInArrow(_scan(hot_anchors(texts)), _ANCHORS).repartition(F.when(F.col("kind") == 0, F.xxhash64("k1", "k2", "first")).otherwise(F.col("key")))
+    scanned = texts.mapInArrow(_scan(hot_grams(texts)), _ANCHORS).repartition(F.when(F.col("kind") == 0, F.xxhash64("k1", "k2", "first")).otherwise(F.col("key")))
     found = scanned.sortWithinPartitions("kind", "key", "seg", "seg2").mapInArrow(_sift(most), _FOUND)
     look = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "key", "first", "packed")).alias("places"))
     places = texts.join(look.hint("shuffle_merge"), ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_cut_out, _PLACES)

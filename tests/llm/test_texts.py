@@ -68,7 +68,7 @@ def test_removal_of_a_passage_that_all_share(spark):
     texts = [make(rng.randrange(300)) + passage + make(rng.randrange(300)) + (other if rng.random() < 0.3 else "") for _ in range(600)]
     texts += [text] * 300 + [text[: (i := rng.randrange(1400))] + "#" + text[i + 1 :] for _ in range(300)]
     keys = docs(spark, texts).select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), "text")
-    assert len(suffix.hot_anchors(keys)) > 10
+    assert len(suffix.hot_grams(keys)) > 10
     assert removed(spark, texts) == dict(enumerate(suffix.brute(texts)))
 
 
