@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -261,7 +262,7 @@ def candidates(posts: DataFrame, least: float, crowd: int = 128) -> DataFrame:
 def joined(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """a, b: links that join, in each group (root) of text hashes k2, all texts that pairs of similarity least or more join. sets: k2 and the shingles s.
 
-    Each text is compared to those that nothing has reached yet, so a group of near copies takes one comparison a text or little more, and no rows for pairs. A group is one task's.
+    Each text is compared to those that nothing has reached yet, so a group of near copies takes one comparison a text or little more, and no rows for pairs. A group is one task's: for groups of bounded size.
     """
 
     def run(c):
@@ -280,10 +281,7 @@ def joined(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
                 reached, left, flat, lens = [root], left[1:], flat[lens[0] :], lens[1:]
                 continue
             x = reached.pop()
-            marked[of[x]] = 1
-            shared = np.add.reduceat(marked[flat], np.cumsum(lens) - lens)
-            marked[of[x]] = 0
-            near = shared >= least * (len(of[x]) + lens - shared)
+            near = _near(marked, of[x], len(of[x]), flat, lens, least)
             if near.any():
                 new = left[near]
                 reached += new.tolist()
@@ -294,18 +292,103 @@ def joined(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     return groups.join(sets, "k2").select("root", "k2", "s").groupBy("root").applyInPandas(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128) -> DataFrame:
-    """a, b: pairs of text hashes whose texts' shingle sets have a Jaccard similarity of least or more, enough to join all that such pairs join. Exact: see prefixes."""
+def _near(marked: np.ndarray, one: np.ndarray, n: int, flat: np.ndarray, lens: np.ndarray, least: float) -> np.ndarray:
+    """Which of the sets that lie one after the other in flat, with lens members each, have a similarity of least or more to a set of n, of whose members one are known. marked: zeros, by member."""
+    marked[one] = 1
+    shared = np.add.reduceat(marked[flat], np.cumsum(lens) - lens)
+    marked[one] = 0
+    return shared >= least * (n + lens - shared)
+
+
+def _reached_by(left: DataFrame, hubs: DataFrame, least: float, share: int, block: int) -> DataFrame:
+    """a, b: for texts b of left (root, k2, s) a text a of hubs (root, k2, s) of their group at similarity least or more, in one row or more where there is one.
+
+    Both sides are dealt in parts of about share and block texts, and each part meets each of the other side: as many comparisons as the two sides ask for, in tasks of bounded size.
+    """
+
+    def run(key, x, y):
+        import pandas as pd
+
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        each, of = [np.asarray(s) for s in x["s"]], [np.asarray(s) for s in y["s"]]
+        values = np.unique(np.concatenate(each))
+        ids, lens, flat, out = x["k2"].to_numpy(), np.array([len(s) for s in each]), np.searchsorted(values, np.concatenate(each)), []
+        marked = np.zeros(len(values), dtype=np.int32)
+        for hub, s in zip(y["k2"], of, strict=True):
+            if not len(ids):
+                break
+            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+            one = at[values[at] == s]
+            near = _near(marked, one, len(s), flat, lens, least)
+            if near.any():
+                out += [(hub, i) for i in ids[near]]
+                ids, flat, lens = ids[~near], flat[np.repeat(~near, lens)], lens[~near]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    parts = lambda d, n, name: d.groupBy("root").agg(F.ceil(F.count("*") / n).cast("long").alias(name))
+    n = sized(parts(left, share, "shares").join(parts(hubs, block, "blocks"), "root"))
+    of = lambda c: F.pmod(F.xxhash64("k2"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    x = left.join(n, "root").select("root", of("shares").alias("share"), each("blocks").alias("block"), "k2", "s")
+    y = hubs.join(n, "root").select(F.col("root").alias("root"), each("shares").alias("share"), of("blocks").alias("block"), F.col("k2").alias("k2"), F.col("s").alias("s"))
+    on = ["root", "share", "block"]
+    return x.groupBy(*on).cogroup(y.groupBy(*on)).applyInPandas(run, "a long, b long")
+
+
+def spread(rows: DataFrame, least: float, whole: int = 4096, share: int = 2048, block: int = 128) -> DataFrame:
+    """a, b: what joined gives, for groups of any size. rows: root, k2, s; no two rows of one k2.
+
+    From one text of a group on, those that are reached are asked for others in rounds, few at first and eight times as many in each round, while what is left shrinks; when all have asked, what is left of the group is one task's
+    if it has no more than `whole` texts, and else goes on from another text. A text is compared to all that came before it, unless one reached it. No row stands for a pair, and no task has more than a part of a group.
+    """
+    first = lambda d: d.groupBy("root").agg(F.min("k2").alias("k2"))
+    left = cut(rows)
+    hubs, take, later, links = cut(left.join(first(left), ["root", "k2"], "left_semi")), block, None, []
+    left = cut(left.join(hubs.select("k2"), "k2", "left_anti"))
+    while left.take(1):
+        found = cut(_reached_by(left, hubs, least, share, block).groupBy("b").agg(F.min("a").alias("a")))
+        links.append(found.select("a", "b"))
+        reached = left.join(found.select(F.col("b").alias("k2")), "k2", "left_semi").select("root", "k2", "s")
+        waiting = cut(reached if later is None else reached.unionByName(later))
+        left = cut(left.join(found.select(F.col("b").alias("k2")), "k2", "left_anti"))
+        # Of each group that has some waiting about `take` ask next.
+        n = sized(waiting.groupBy("root").agg(F.count("*").alias("n")))
+        chosen = waiting.join(n, "root").where((F.col("n") <= take) | (F.pmod(F.xxhash64("k2", F.lit(take)), F.col("n")) < take)).select("root", "k2", "s")
+        idle = sized(left.groupBy("root").agg(F.count("*").alias("m"), F.min("k2").alias("k2")).join(n.select("root"), "root", "left_anti"))
+        ends = idle.where(F.col("m") <= whole).select("root")
+        if ends.take(1):
+            rest = cut(left.join(ends, "root", "left_semi").select("root", "k2", "s"))
+            links.append(joined(rest.select("k2", "s"), rest.select("root", "k2"), least))
+            left = left.join(ends, "root", "left_anti")
+        seeds = left.join(idle.select("root", "k2"), ["root", "k2"], "left_semi").select("root", "k2", "s")
+        hubs = cut(chosen.unionByName(seeds))
+        later = cut(waiting.join(hubs.select("k2"), "k2", "left_anti").join(left.select("root").distinct(), "root", "left_semi"))
+        left = cut(left.join(hubs.select("k2"), "k2", "left_anti"))
+        take = min(8 * take, 1 << 40)
+    return reduce(DataFrame.unionByName, links) if links else rows.select(F.col("k2").alias("a"), F.col("k2").alias("b")).limit(0)
+
+
+def near_links(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096) -> DataFrame:
+    """a, b: pairs of text hashes whose texts' shingle sets have a Jaccard similarity of least or more, enough to join all that such pairs join. Exact: see prefixes.
+
+    Candidates that hang together are compared in one task up to `whole` texts, and larger groups in parts (spread): two ways to the same links.
+    """
     d = docs.select(F.xxhash64(docs["text"]).alias("k2"), docs["text"].alias("text"))
     met = cut(candidates(prefixes(d, size, least), least, crowd))
     pairs, crowds = met.where(~F.col("crowded")).select("a", "b"), met.where("crowded")
     stars = crowds.join(crowds.groupBy("a").agg(F.min("b").alias("least")), "a").select(F.col("least").alias("a"), "b")
     roots = cut(components(pairs.union(stars)).select(F.col("node").alias("k2"), "root"))
     texts = d.join(sized(roots.select("k2")), "k2", "left_semi").dropDuplicates(["k2"])
-    return joined(texts.select("k2", shingle_set(F.col("text"), size).alias("s")), roots, least)
+    sets = texts.select("k2", shingle_set(F.col("text"), size).alias("s"))
+    large = sized(roots.groupBy("root").count().where(F.col("count") > whole).select("root"))
+    if not large.take(1):
+        return joined(sets, roots, least)
+    few, many = roots.join(large, "root", "left_anti"), roots.join(large, "root", "left_semi")
+    return joined(sets, few, least).unionByName(spread(many.join(sets, "k2").select("root", "k2", "s"), least, whole))
 
 
-def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096) -> DataFrame:
     """docs, with its columns, without rows that repeat the text of a row with a smaller doc_id, and of each group of near duplicates the row with the smallest; ids come before nulls.
 
     Near duplicates are texts whose shingle sets have a Jaccard similarity of least or more; a group is what such pairs join. All of them are found: SimHash misses pairs at
@@ -316,7 +399,7 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 12
     k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(docs["text"])
     rows = cut(docs.groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.count("*").alias("n")))
     now = rows.groupBy("k2").agg(F.min("k1").alias("k1"))
-    roots = components(near_links(docs, size, least, crowd))
+    roots = components(near_links(docs, size, least, crowd, whole))
     of_root = cut(roots.join(now.select(F.col("k2").alias("node"), "k1"), "node"))
     first = of_root.groupBy("root").agg(F.min(F.struct("k1", "node")).alias("first"))
     gone = of_root.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("k2"))
