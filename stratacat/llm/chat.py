@@ -151,6 +151,7 @@ HARD = (-7, "\\### Assistant: </turn> ok")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """A row for each conversation, HARD's too. Null roles and texts are empty; turns that repeat a number are in the order of role and text, and repeated rows count each; a null conv_id is a conversation of its own. A conversation may be of any length; without rows only HARD's is given."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(F.lit(HARD[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD[1]).alias("text"))
     return digest(format_turns(given.unionByName(hard)))

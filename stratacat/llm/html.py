@@ -235,6 +235,7 @@ def trained() -> Model:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of pages, repeated ones too, with the main text of its whole html. A null or empty html, or one without content, has an empty text and 0 characters; a null url or id stays null. Any markup gives a text: nothing is malformed. No rows give none."""
     from pyspark.sql import functions as F
 
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -73,6 +73,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of documents. Null, empty and blank texts have size 0 and take nothing. A null source is a source, the last. Rows that repeat an id draw alike; rows without one draw by their text. A source without words has target 0. No rows give none."""
     from stratacat.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

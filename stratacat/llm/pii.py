@@ -164,7 +164,7 @@ def mask_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least: float = 0.
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    """The spans of find_pii, counted and digested."""
+    """A row for each row of documents, with the spans of find_pii counted and digested. Null and empty texts have no spans: counts of 0, the digest of nothing and empty spans. Repeated rows are read each, texts whole; no rows give none."""
     spans = find_pii(table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     text = lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))

@@ -192,5 +192,10 @@ def keep_good(docs: DataFrame, **how) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, with its counts, base_failed, kept and d2.
+
+    Null, empty and blank texts have no words and fail the base rules. Null languages and sources are values like others. Repeated rows count and are judged each; texts are taken whole, whatever their length;
+    a table without rows gives none, and columns that aren't needed aren't read. Where no group has enough rows, d2 is null and the base rules alone decide.
+    """
     m = cut(measure(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text"))
     return judged(m, estimates(m)).select("doc_id", *[F.col(f"q.{c}").alias(c) for c in COUNTS], F.col("q.base_failed").alias("base_failed"), "kept", F.round("d2", 6).alias("d2"))

@@ -122,6 +122,7 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of documents. Null, empty and blank texts have fingerprint 0 and are linked as such. Rows without an id link too; a component of such rows alone has a null component_id. Repeated rows are in one component. Texts are taken whole, in blocks; no rows give none."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -377,7 +378,7 @@ def near_links(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int =
     d = docs.select(F.xxhash64(docs["text"]).alias("k2"), docs["text"].alias("text"))
     met = cut(candidates(prefixes(d, size, least), least, crowd))
     pairs, crowds = met.where(~F.col("crowded")).select("a", "b"), met.where("crowded")
-    stars = crowds.join(crowds.groupBy("a").agg(F.min("b").alias("least")), "a").select(F.col("least").alias("a"), "b")
+    stars = crowds.join(sized(crowds.groupBy("a").agg(F.min("b").alias("least"))), "a").select(F.col("least").alias("a"), "b")
     roots = cut(components(pairs.union(stars)).select(F.col("node").alias("k2"), "root"))
     texts = d.join(sized(roots.select("k2")), "k2", "left_semi").dropDuplicates(["k2"])
     sets = texts.select("k2", shingle_set(F.col("text"), size).alias("s"))

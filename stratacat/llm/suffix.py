@@ -476,6 +476,7 @@ def remove_repeats(docs: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of documents. Null and empty texts have no bytes: nothing is removed, and the digest is that of nothing. Repeated rows repeat each other, with or without an id. Texts are taken whole, in pieces; no rows give none."""
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

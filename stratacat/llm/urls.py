@@ -163,6 +163,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataF
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of pages. Null URLs and those without :// have an empty host and path, no rule and the verdict allow. Of rules that fit the longest counts, and of equally long ones block. Long URLs form no more keys than others; no rows give none."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page.page_id", "host", "path", "rule", "verdict")
 
 
