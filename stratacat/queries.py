@@ -589,6 +589,14 @@ CATALOG |= {
         lambda v: pipelines.bootstrap(v.fx_disk, "node-1", v.fx_disk.select(identity.op_id(F.lit("ingest"), F.lit("node-1"), "path", "sha256").alias("op_id"), F.when(F.col("doc_id") % 3 == 0, "done").otherwise("intent").alias("state"), "doc_id").where("doc_id % 2 = 0")).select("path", "action"),
         "select path, case when doc_id % 2 > 0 then 'new' when doc_id % 3 = 0 then 'done' else 'resume' end as action from @fx_disk",
     ),
+    "vault_init": (
+        lambda v: pipelines.init_vault(v.fx_disk.select("path", (~globs.ignored(F.col("path"), globs.parse_ignore("new/\n*.tmp"))).alias("kept")), v.fx_disk.select("path", "sha256", "size"), "node-1", v.fx_log).select("path", "action"),
+        r"select path, 'new' as action from @fx_disk where not starts_with(path, 'new/') and not regexp_matches(path, '^(.*/)?[^/]*\.tmp$')",
+    ),
+    "repo_track": (
+        lambda v: pipelines.repo_track(["**/*.pdf"], ["**/*.stl", "src1/**", "**/*.pdf"], v.fx_tree)[1],
+        rf"select path from @fx_tree where regexp_matches(path, '{RX_IN}') or regexp_matches(path, '{RX_OV[0]}')",
+    ),
     "track_in_order": (
         lambda v: pipelines.track(v.fx_tree.select("path", F.col("doc_id").alias("position")), v.fx_catalog_tracked, v.fx_disk),
         "with j as (select t.path, t.doc_id, case when d.path is null then 'missing' when c.path is null then 'tracked' when c.sha256 = d.sha256 then 'already' else 'drifted' end as verdict from @fx_tree t left join @fx_catalog_tracked c on t.path = c.path left join @fx_disk d on t.path = d.path) select path, case when doc_id > (select min(doc_id) from j where verdict = 'missing') then 'not-reached' else verdict end as verdict from j",
