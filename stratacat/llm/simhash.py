@@ -133,22 +133,6 @@ def shingle_set(text: Column, size: int) -> Column:
     return let(ws, lambda w: F.when(F.size(w) > 0, F.array_distinct(some(w))).otherwise(F.array().cast("array<long>")))
 
 
-def word_views(text: str | None, views: int) -> list[int]:
-    """Fingerprints of the distinct words, one for each view."""
-    ws = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
-    if not ws:
-        return [0] * views
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in ws], dtype=np.uint64)
-    out = []
-    for v in range(views):
-        x = (h ^ np.uint64((v + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        ones = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(ws), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def _shingle_hashes(text: str | None, size: int, memo: dict[bytes, int]) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes, combined from the hashes of their words."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -301,10 +285,15 @@ def _near(marked: np.ndarray, one: np.ndarray, n: int, flat: np.ndarray, lens: n
     return shared >= least * (n + lens - shared)
 
 
+def _weight(shingles: Column) -> Column:
+    """What a text counts towards a task's share: one for each 1024 shingles begun."""
+    return F.greatest(F.ceil(shingles / 1024), F.lit(1)).cast("long")
+
+
 def _reached_by(left: DataFrame, hubs: DataFrame, least: float, share: int, block: int) -> DataFrame:
     """a, b: for texts b of left (root, k2, s) a text a of hubs (root, k2, s) of their group at similarity least or more, in one row or more where there is one.
 
-    Both sides are dealt in parts of about share and block texts, and each part meets each of the other side: as many comparisons as the two sides ask for, in tasks of bounded size.
+    Both sides are dealt in parts of about share and block texts, long ones counting as several, and each part meets each of the other side: as many comparisons as the two sides ask for, in tasks of bounded size.
     """
 
     def run(key, x, y):
@@ -327,7 +316,7 @@ def _reached_by(left: DataFrame, hubs: DataFrame, least: float, share: int, bloc
                 ids, flat, lens = ids[~near], flat[np.repeat(~near, lens)], lens[~near]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    parts = lambda d, n, name: d.groupBy("root").agg(F.ceil(F.count("*") / n).cast("long").alias(name))
+    parts = lambda d, n, name: d.groupBy("root").agg(F.ceil(F.sum(_weight(F.size("s"))) / n).cast("long").alias(name))
     n = sized(parts(left, share, "shares").join(parts(hubs, block, "blocks"), "root"))
     of = lambda c: F.pmod(F.xxhash64("k2"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
@@ -341,7 +330,7 @@ def spread(rows: DataFrame, least: float, whole: int = 4096, share: int = 2048,
     """a, b: what joined gives, for groups of any size. rows: root, k2, s; no two rows of one k2.
 
     From one text of a group on, those that are reached are asked for others in rounds, few at first and eight times as many in each round, while what is left shrinks; when all have asked, what is left of the group is one task's
-    if it has no more than `whole` texts, and else goes on from another text. A text is compared to all that came before it, unless one reached it. No row stands for a pair, and no task has more than a part of a group.
+    if it has no more than `whole` texts (long ones counting as several), and else goes on from another text. A text is compared to all that came before it, unless one reached it. No row stands for a pair, and no task has more than a part of a group.
     """
     first = lambda d: d.groupBy("root").agg(F.min("k2").alias("k2"))
     left = cut(rows)
@@ -356,7 +345,7 @@ def spread(rows: DataFrame, least: float, whole: int = 4096, share: int = 2048,
         # Of each group that has some waiting about `take` ask next.
         n = sized(waiting.groupBy("root").agg(F.count("*").alias("n")))
         chosen = waiting.join(n, "root").where((F.col("n") <= take) | (F.pmod(F.xxhash64("k2", F.lit(take)), F.col("n")) < take)).select("root", "k2", "s")
-        idle = sized(left.groupBy("root").agg(F.count("*").alias("m"), F.min("k2").alias("k2")).join(n.select("root"), "root", "left_anti"))
+        idle = sized(left.groupBy("root").agg(F.sum(_weight(F.size("s"))).alias("m"), F.min("k2").alias("k2")).join(n.select("root"), "root", "left_anti"))
         ends = idle.where(F.col("m") <= whole).select("root")
         if ends.take(1):
             rest = cut(left.join(ends, "root", "left_semi").select("root", "k2", "s"))
@@ -370,37 +359,46 @@ def spread(rows: DataFrame, least: float, whole: int = 4096, share: int = 2048,
     return reduce(DataFrame.unionByName, links) if links else rows.select(F.col("k2").alias("a"), F.col("k2").alias("b")).limit(0)
 
 
-def near_links(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096) -> DataFrame:
-    """a, b: pairs of text hashes whose texts' shingle sets have a Jaccard similarity of least or more, enough to join all that such pairs join. Exact: see prefixes.
+def near_links(d: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096) -> DataFrame:
+    """a, b: pairs of keys k2 whose texts' shingle sets have a Jaccard similarity of least or more, enough to join all that such pairs join. Exact: see prefixes.
 
-    Candidates that hang together are compared in one task up to `whole` texts, and larger groups in parts (spread): two ways to the same links.
+    d: k2 and text, equal keys for equal texts only. Candidates that hang together are compared in one task up to `whole` texts, each 8 KB begun of a long one counting as a text, and larger
+    groups in parts (spread): two ways to the same links.
     """
-    d = docs.select(F.xxhash64(docs["text"]).alias("k2"), docs["text"].alias("text"))
     met = cut(candidates(prefixes(d, size, least), least, crowd))
     pairs, crowds = met.where(~F.col("crowded")).select("a", "b"), met.where("crowded")
     stars = crowds.join(sized(crowds.groupBy("a").agg(F.min("b").alias("least"))), "a").select(F.col("least").alias("a"), "b")
     roots = cut(components(pairs.union(stars)).select(F.col("node").alias("k2"), "root"))
-    texts = d.join(sized(roots.select("k2")), "k2", "left_semi").dropDuplicates(["k2"])
-    sets = texts.select("k2", shingle_set(F.col("text"), size).alias("s"))
-    large = sized(roots.groupBy("root").count().where(F.col("count") > whole).select("root"))
+    asked = d.join(sized(roots.select("k2")), "k2", "left_semi")
+    sets = asked.dropDuplicates(["k2"]).select("k2", shingle_set(F.col("text"), size).alias("s"))
+    weights = asked.groupBy("k2").agg(F.max(F.ceil(F.octet_length("text") / 8192)).alias("w")).join(roots, "k2").groupBy("root").agg(F.sum("w").alias("w"))
+    large = sized(weights.where(F.col("w") > whole).select("root"))
     if not large.take(1):
         return joined(sets, roots, least)
     few, many = roots.join(large, "root", "left_anti"), roots.join(large, "root", "left_semi")
     return joined(sets, few, least).unionByName(spread(many.join(sets, "k2").select("root", "k2", "s"), least, whole))
 
 
-def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096, bits: int = 64) -> DataFrame:
     """docs, with its columns, without rows that repeat the text of a row with a smaller doc_id, and of each group of near duplicates the row with the smallest; ids come before nulls.
 
     Near duplicates are texts whose shingle sets have a Jaccard similarity of least or more; a group is what such pairs join. All of them are found: SimHash misses pairs at
     0.8 (one in three of 15 to 29 words in six views), so the candidates are those that share a shingle of their prefixes, and all are verified.
-    Only hashes are grouped and joined: a row is its doc_id and its text's hash. What goes is a list of such pairs, broadcast where its measured size allows and else
+    Only hashes are grouped and joined: a row is its doc_id and its text's hash, of bits bits. Where texts of one hash differ in a second, the second is their key, so neither takes
+    the other's place; texts are taken as equal if both are, 128 bits in all. What goes is a list of such pairs, broadcast where its measured size allows and else
     joined by hash. Of rows that repeat id and text one stays. Null texts are equal to each other, and no duplicates of others.
     """
-    k1, k2 = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(docs["text"])
-    rows = cut(docs.groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.count("*").alias("n")))
+    k1 = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
+    k2, second = F.shiftright(F.xxhash64(docs["text"]), 64 - bits), F.xxhash64(docs["text"], F.lit(SEED))
+    rows = cut(docs.groupBy(k1.alias("k1"), k2.alias("k2"), second.alias("k3")).agg(F.count("*").alias("n")))
+    clash = sized(rows.groupBy("k2").agg(F.min("k3").alias("low"), F.max("k3").alias("high")).where("low <> high").select(F.col("k2").alias("__clash")))
+    columns = docs.columns
+    if clash.take(1):
+        docs = docs.join(clash, k2 == clash["__clash"], "left")
+        k2 = F.when(clash["__clash"].isNull(), k2).otherwise(second)
+        rows = cut(rows.join(clash, rows["k2"] == clash["__clash"], "left").select("k1", F.when(F.col("__clash").isNull(), F.col("k2")).otherwise(F.col("k3")).alias("k2"), "n"))
     now = rows.groupBy("k2").agg(F.min("k1").alias("k1"))
-    roots = components(near_links(docs, size, least, crowd, whole))
+    roots = components(near_links(docs.select(k2.alias("k2"), docs["text"].alias("text")), size, least, crowd, whole))
     of_root = cut(roots.join(now.select(F.col("k2").alias("node"), "k1"), "node"))
     first = of_root.groupBy("root").agg(F.min(F.struct("k1", "node")).alias("first"))
     gone = of_root.join(first, "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("k2"))
@@ -408,6 +406,6 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 12
     lost = sized(rows.select("k1", "k2").join(stay, ["k1", "k2"], "left_anti").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
     kept = docs.join(lost, (k1 == lost["__k1"]) & (k2 == lost["__k2"]), "left_anti")
     again = sized(rows.where("n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
-    once = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"]), "left_anti")
-    repeated = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"])).dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    once = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"]), "left_anti").select(*[docs[c] for c in columns])
+    repeated = kept.join(again, (k1 == again["__k1"]) & (k2 == again["__k2"])).dropDuplicates(["__k1", "__k2"]).select(*columns)
     return once.unionByName(repeated)

@@ -457,6 +457,25 @@ def test_keep_one_of_many_copies(spark):
     assert kept_ids(spark, texts, whole=150) == want
 
 
+def test_keep_one_where_text_hashes_clash(spark):
+    rng = random.Random(25)
+    bases = [[f"word{rng.randrange(10**9)}" for _ in range(60)] for _ in range(60)]
+    texts = [" ".join(ws) for ws in bases] + [" ".join(edited(rng, ws, 1)) for ws in bases[:20]] + [" ".join(ws) for ws in bases[40:50]]
+    want, pairs = plain_near(texts)
+    assert len(want) == 60 and kept_ids(spark, texts) == want
+    for bits in (1, 5, 10):
+        assert kept_ids(spark, texts, bits=bits) == want
+
+
+def test_keep_one_counts_long_texts_as_several(spark):
+    rng = random.Random(26)
+    ws = [f"word{rng.randrange(10**9)}" for _ in range(6000)]
+    texts = [" ".join(edited(rng, ws, rng.randrange(150))) for _ in range(12)] + [" ".join(ws[:60]), " ".join(ws[:59] + ["end"])]
+    want, pairs = plain_near(texts)
+    assert 20 <= len(pairs) < 66 and kept_ids(spark, texts) == want
+    assert kept_ids(spark, texts, whole=20) == want
+
+
 def test_groups_in_parts_join_what_one_task_joins(spark):
     rng = random.Random(24)
     rows = []
