@@ -53,6 +53,12 @@ VIEWS = {
     "fx_catalog_tracked": "select * from @fx_catalog where doc_id % 4 > 0",
     "fx_move": "select concat('node-', cast(doc_id % 5 as string)) as member, path, 'node-0' as to_member, case when doc_id % 4 = 1 then 'taken/once' else concat('to/', path) end as to_path from @fx_lock where doc_id % 6 = 1",
     "fx_known": "select concat('node-', cast(doc_id % 5 as string)) as name, doc_id % 3 as generation, id from @fx_query where doc_id % 4 < 2",
+    # starts of ids of 2 to 8 characters, and one that no id has
+    "fx_prefix": "select distinct substr(id, 1, cast(2 + doc_id % 7 as int)) as prefix from @fx_catalog union select 'zz' as prefix from @region",
+    # what a half-done ingest has journaled, what a user has confirmed, and receipts that come anew
+    "fx_ingested": "select path, sha256, case when doc_id % 3 = 0 then 'done' else 'intent' end as state, doc_id from @fx_disk where doc_id % 2 = 0",
+    "fx_confirmed": "select path from @fx_tree where doc_id % 2 = 0",
+    "fx_catalog_seen": "select * from @fx_catalog where doc_id % 2 = 0",
     "fx_wanted_id": "select id, doc_id from @fx_query where doc_id % 2 = 0",
     # a log whose chain holds, its newer half, and what writers would add to it: ids that it has, ids that repeat, refs of its open operations and refs that repeat
     "fx_log": "select member, seq, op_id, op_type, path, concat('t', op_type, cast(seq % 50 as string)) as ref2, state, created_at, sha(op_id) as self_hash, coalesce(lag(sha(op_id)) over (partition by member order by seq), '0000000000000000000000000000000000000000000000000000000000000000') as prev_hash from @fx_wal",

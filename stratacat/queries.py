@@ -84,7 +84,6 @@ RESOLVE = f"""{FORWARD}, up as (select * from @fx_members where answered),
  res as (select q.id, q.home, case when d.who = q.home then 'found-at-home' when d.who is not null then 'found-elsewhere' when c.ending = 'found' then (case when c.dest = q.home then 'found-at-home' else 'found-elsewhere' end) when c.ending = 'partial' then 'partial-view' when c.ending = 'error' then 'error'
    when exists (select 1 from @fx_members where status = 'active' and not answered) or exists (select 1 from views v where v.id = q.id and v.active and not v.holds and v.pending) then 'partial-view' else 'missing' end as outcome,
    coalesce(d.who, case when c.ending = 'found' then c.dest end) as member, case when d.who is null and c.ending = 'partial' then c.dest end as pointer from (select distinct id, home from @fx_query) q left join direct d on d.id = q.id left join chain c on c.id = q.id)"""
-PREFIXES = "pre as (select distinct substr(id, 1, 2 + doc_id % 7) as prefix from @fx_catalog where doc_id % 50 = 7 union select 'zz' as prefix)"
 SEMVERS = "(select concat(case when p_partkey % 3 = 0 then 'v' else '' end, cast(p_partkey % 4 as string), '.', cast(p_size as string), '.', cast(p_partkey % 7 as string), case when p_partkey % 5 = 0 then '-rc1' when p_partkey % 11 = 0 then 'x' else '' end) as a, concat('1.', cast(p_partkey % 60 as string), '.3') as b, p_partkey from @part)"
 
 
@@ -278,8 +277,8 @@ CATALOG: dict[str, Query] = {
         f"with recursive {RESOLVE.replace('@fx_members', 'mem').replace('@fx_query', 'qry')} select id, outcome, member from res".replace("with recursive fwd", "with recursive mem as (select name, status, true as answered from @fx_members), qry as (select * from @fx_query_moved), fwd"),
     ),
     "id_prefix_lookup": (
-        lambda v: federation.id_prefix(v.fx_catalog, v.fx_members, v.fx_catalog.where("doc_id % 50 = 7").select(F.expr("substring(id, 1, cast(2 + doc_id % 7 as int))").alias("prefix")).union(v.nation.limit(1).select(F.lit("zz"))).distinct()),
-        f"with {PREFIXES}, u as (select distinct id from @fx_catalog where member in (select name from @fx_members where answered)), n as (select prefix, count(u.id) as n_ids, min(u.id) as id from pre left join u on starts_with(u.id, prefix) group by prefix) select prefix, n_ids, case when n_ids = 1 then 'found' when n_ids > 1 then 'ambiguous' else 'partial-view' end as verdict, case when n_ids = 1 then id end as id from n",
+        lambda v: federation.id_prefix(v.fx_catalog, v.fx_members, v.fx_prefix),
+        "with u as (select distinct id from @fx_catalog where member in (select name from @fx_members where answered)), n as (select prefix, count(u.id) as n_ids, min(u.id) as id from @fx_prefix left join u on starts_with(u.id, prefix) group by prefix) select prefix, n_ids, case when n_ids = 1 then 'found' when n_ids > 1 then 'ambiguous' else 'partial-view' end as verdict, case when n_ids = 1 then id end as id from n",
     ),
     "heal_plan": (
         lambda v: federation.heal(v.fx_query.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), "id", F.concat(F.lit("node-"), (F.col("doc_id") % 3).cast("string")).alias("location")), _moves_state(v)),
@@ -586,7 +585,7 @@ CATALOG |= {
          union all select ok.path, ok.sha256, d.size, 1800000000 from ok join @fx_disk_1 d on d.path = ok.path where ok.kind = 'added'""",
     ),
     "bootstrap_resume": (
-        lambda v: pipelines.bootstrap(v.fx_disk, "node-1", v.fx_disk.select(identity.op_id(F.lit("ingest"), F.lit("node-1"), "path", "sha256").alias("op_id"), F.when(F.col("doc_id") % 3 == 0, "done").otherwise("intent").alias("state"), "doc_id").where("doc_id % 2 = 0")).select("path", "action"),
+        lambda v: pipelines.bootstrap(v.fx_disk, "node-1", v.fx_ingested.select(identity.op_id(F.lit("ingest"), F.lit("node-1"), "path", "sha256").alias("op_id"), "state", "doc_id")).select("path", "action"),
         "select path, case when doc_id % 2 > 0 then 'new' when doc_id % 3 = 0 then 'done' else 'resume' end as action from @fx_disk",
     ),
     "vault_init": (
@@ -625,8 +624,8 @@ CATALOG |= {
         "select c.id, case when doc_id % 5 = 0 then 'nowhere' else member end as member, case when doc_id % 5 > 0 then path end as path, case when doc_id % 5 = 0 or o.object_key is null then 'unknown' when o.observed_sha = c.sha256 then 'fresh' else 'drifted' end as freshness from @fx_catalog c left join @fx_objects o on o.object_key = c.sha256",
     ),
     "scan_confirmed": (
-        lambda v: pipelines.absorb_scan(v.fx_catalog, v.fx_disk, v.fx_tree.where("doc_id % 2 = 0").select("path")).report.select("path", "kind"),
-        f"with {DIFF} select path, kind from changes where kind <> 'deleted' or path in (select path from @fx_tree where doc_id % 2 = 0)",
+        lambda v: pipelines.absorb_scan(v.fx_catalog, v.fx_disk, v.fx_confirmed).report.select("path", "kind"),
+        f"with {DIFF} select path, kind from changes where kind <> 'deleted' or path in (select path from @fx_confirmed)",
     ),
     "catalog_upsert": (
         lambda v: projection.remove(projection.upsert(v.fx_catalog.select("member", "path", "sha256"), v.fx_upload.select("member", "path", F.lit("new").alias("sha256")).distinct()), v.fx_pending.join(v.fx_catalog.select("id", "path"), "id").select("member", "path")),
@@ -697,7 +696,7 @@ CATALOG |= {
         "select * from (select path as key, sha256 from @fx_lock where path not in (select path from @fx_tree) union all select path, sha256 from @fx_tree) x where key not in (select path from @fx_catalog where doc_id % 13 = 0)",
     ),
     "receipts_certified": (
-        lambda v: sinks.receipts_table(v.fx_catalog.select("id", F.struct(*identity.GENESIS).alias("genesis"), F.lit("old").alias("path")), v.fx_catalog.where("doc_id % 2 = 0").select("id", F.struct(*identity.GENESIS).alias("genesis"), "path")).select("id", "path"),
+        lambda v: sinks.receipts_table(v.fx_catalog.select("id", F.struct(*identity.GENESIS).alias("genesis"), F.lit("old").alias("path")), v.fx_catalog_seen.select("id", F.struct(*identity.GENESIS).alias("genesis"), "path")).select("id", "path"),
         f"select id, case when doc_id % 2 = 0 and id = {GENESIS_SHA} then path else 'old' end as path from @fx_catalog",
     ),
     "registry_document": (
