@@ -59,6 +59,12 @@ VIEWS = {
     "fx_ingested": "select path, sha256, case when doc_id % 3 = 0 then 'done' else 'intent' end as state, doc_id from @fx_disk where doc_id % 2 = 0",
     "fx_confirmed": "select path from @fx_tree where doc_id % 2 = 0",
     "fx_catalog_seen": "select * from @fx_catalog where doc_id % 2 = 0",
+    # the names that a registry has, markers beside the log, what a user removes, what comes back from receipts, and texts whose bytes are stored
+    "fx_registry": "select n_name as name from @nation where n_nationkey % 3 > 0",
+    "fx_marker": "select member, seq, case when seq % 4 = 0 then 'done' else 'failed' end as mark from @fx_wal where seq % 3 > 0 union all select member, seq, 'done' as mark from @fx_wal where seq % 5 = 0",
+    "fx_removed": "select concat('node-',cast(doc_id % 5 as string)) as member, path from @fx_tree where doc_id % 4 = 1 union select 'node-1' as member, 'nowhere' as path from @region",
+    "fx_catalog_back": "select * from @fx_catalog where doc_id % 3 = 1",
+    "fx_stored": "select sha(text) as object_key, min(case when doc_id % 7 = 0 then 'rot' else text end) as content from @documents where doc_id % 3 > 0 group by sha(text)",
     "fx_wanted_id": "select id, doc_id from @fx_query where doc_id % 2 = 0",
     # a log whose chain holds, its newer half, and what writers would add to it: ids that it has, ids that repeat, refs of its open operations and refs that repeat
     "fx_log": "select member, seq, op_id, op_type, path, concat('t', op_type, cast(seq % 50 as string)) as ref2, state, created_at, sha(op_id) as self_hash, coalesce(lag(sha(op_id)) over (partition by member order by seq), '0000000000000000000000000000000000000000000000000000000000000000') as prev_hash from @fx_wal",

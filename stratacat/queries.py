@@ -248,9 +248,9 @@ CATALOG: dict[str, Query] = {
         lambda v: federation.divergent(v.fx_roster),
         f"with {MERGED} select observer, string_agg(concat(name,':',status), ',' order by concat(name,':',status)) <> (select string_agg(concat(name,':',status), ',' order by concat(name,':',status)) from merged) as divergent from @fx_roster group by observer",
     ),
-    "roster_unregistered": (lambda v: federation.unregistered(federation.merge_rosters(v.fx_roster), v.nation.where("n_nationkey % 3 > 0").select(F.col("n_name").alias("name"))).select("name"), f"with {MERGED} select name from merged where name not in (select n_name from @nation where n_nationkey % 3 > 0)"),
+    "roster_unregistered": (lambda v: federation.unregistered(federation.merge_rosters(v.fx_roster), v.fx_registry).select("name"), f"with {MERGED} select name from merged where name not in (select name from @fx_registry)"),
     "wal_state": (
-        lambda v: wal.effective_state(v.fx_wal.select("member", "seq", "op_id"), v.fx_wal.where("seq % 3 > 0").select("member", "seq", F.when(F.col("seq") % 4 == 0, "done").otherwise("failed").alias("mark")).union(v.fx_wal.where("seq % 5 = 0").select("member", "seq", F.lit("done")))).select("op_id", "state"),
+        lambda v: wal.effective_state(v.fx_wal.select("member", "seq", "op_id"), v.fx_marker).select("op_id", "state"),
         "select op_id, case when (seq % 3 > 0 and seq % 4 = 0) or seq % 5 = 0 then 'done' when seq % 3 > 0 then 'failed' else 'intent' end as state from @fx_wal",
     ),
     "wal_pending": (lambda v: wal.pending(v.fx_wal).groupBy("member", "op_type").agg(F.count("*").alias("n")), "select member, op_type, count(*) as n from @fx_wal where state='intent' group by member, op_type"),
@@ -406,21 +406,21 @@ CATALOG |= {
     ),
     "gc_sweep": (lambda v: gc.sweep(v.fx_objects, gc.mark(v.fx_objects, locks.referenced(v.fx_lock, v.fx_lock_version))).select("object_key"), "select object_key from @fx_objects where object_key in (select sha256 from @fx_lock union select sha256 from @fx_lock_version)"),
     "remove_plan": (
-        lambda v: pipelines.remove(v.fx_catalog, v.fx_tree.where("doc_id % 4 = 1").select(F.concat(F.lit("node-"), (F.col("doc_id") % 5).cast("string")).alias("member"), "path").union(v.nation.limit(1).select(F.lit("node-1"), F.lit("nowhere"))), True).report,
+        lambda v: pipelines.remove(v.fx_catalog, v.fx_removed, True).report,
         """with g as (select member, path, sha256 from @fx_catalog where doc_id % 4 = 1), c as (select g.*, (select count(*) from @fx_catalog x where x.member = g.member and x.sha256 = g.sha256 and x.doc_id % 4 <> 1) as stay, row_number() over (partition by member, sha256 order by path desc) as r from g)
          select member, path, case when stay = 0 and r = 1 then 'bytes' else 'row' end as verdict from c union all select 'node-1', 'nowhere', 'no-file'""",
     ),
     "restore_identity": (
-        lambda v: pipelines.restore_identity(v.fx_catalog, v.fx_catalog.where("doc_id % 3 = 1").select(F.when(F.col("doc_id") % 5 == 1, F.lit("nowhere")).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 7 == 1, identity.mint_id({**{k: F.col(k) for k in identity.GENESIS}, "origin_node": F.lit("old")})).otherwise(F.col("id")).alias("restored_id"), *identity.GENESIS[:3], F.when(F.col("doc_id") % 7 == 1, "old").otherwise(F.col("origin_node")).alias("origin_node"))).report.select("path", "verdict"),
-        f"select case when doc_id % 5 = 1 then 'nowhere' else path end as path, case when doc_id % 7 <> 1 and id <> {GENESIS_SHA} then 'not-certified' when doc_id % 5 = 1 then 'no-file' when doc_id % 7 = 1 then 'restored' else 'already' end as verdict from @fx_catalog where doc_id % 3 = 1",
+        lambda v: pipelines.restore_identity(v.fx_catalog, v.fx_catalog_back.select(F.when(F.col("doc_id") % 5 == 1, F.lit("nowhere")).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 7 == 1, identity.mint_id({**{k: F.col(k) for k in identity.GENESIS}, "origin_node": F.lit("old")})).otherwise(F.col("id")).alias("restored_id"), *identity.GENESIS[:3], F.when(F.col("doc_id") % 7 == 1, "old").otherwise(F.col("origin_node")).alias("origin_node"))).report.select("path", "verdict"),
+        f"select case when doc_id % 5 = 1 then 'nowhere' else path end as path, case when doc_id % 7 <> 1 and id <> {GENESIS_SHA} then 'not-certified' when doc_id % 5 = 1 then 'no-file' when doc_id % 7 = 1 then 'restored' else 'already' end as verdict from @fx_catalog_back",
     ),
     "roster_change": (
         lambda v: pipelines.roster_change(v.fx_members, v.fx_members.select("name", F.when(F.col("name") < "node-2", "left").when(F.col("name") < "node-4", "evicted").otherwise("active").alias("status")), 7).report,
         "select name, status, verdict from (select name, case when name < 'node-2' then 'left' when name < 'node-4' then 'evicted' else 'active' end as status, case when name in ('node-2') then 'refused-live' else 'applied' end as verdict from @fx_members) x",
     ),
     "smudge_check": (
-        lambda v: pipelines.smudge(v.documents.select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), (F.octet_length("text") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size")), v.documents.where("doc_id % 3 > 0").select(F.sha2("text", 256).alias("object_key"), F.when(F.col("doc_id") % 7 == 0, F.lit("rot")).otherwise(F.col("text")).cast("binary").alias("content")).groupBy("object_key").agg(F.min("content").alias("content"))).select("path", "verdict"),
-        "with o as (select sha(text) as k, min(encode(case when doc_id % 7 = 0 then 'rot' else text end)) as c from @documents where doc_id % 3 > 0 group by 1) select cast(d.doc_id as string) as path, case when o.k is null then 'missing' when sha256(o.c) <> o.k then 'corrupt' when octet_length(o.c) <> bytes(d.text) + (case when d.doc_id % 5 = 0 then 1 else 0 end) then 'size' else 'ok' end as verdict from @documents d left join o on sha(d.text) = o.k",
+        lambda v: pipelines.smudge(v.documents.select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), (F.octet_length("text") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size")), v.fx_stored.select("object_key", F.col("content").cast("binary").alias("content"))).select("path", "verdict"),
+        "with o as (select object_key as k, encode(content) as c from @fx_stored) select cast(d.doc_id as string) as path, case when o.k is null then 'missing' when sha256(o.c) <> o.k then 'corrupt' when octet_length(o.c) <> bytes(d.text) + (case when d.doc_id % 5 = 0 then 1 else 0 end) then 'size' else 'ok' end as verdict from @documents d left join o on sha(d.text) = o.k",
     ),
     "clean_filter": (
         lambda v: v.sql(f"select {PATH} as path, text, doc_id from @documents").select("path", F.sha2(pipelines.clean(F.col("text").cast("binary"), F.col("path"), F.octet_length("text").cast("long"), "node-1", MAGIC, **RULES), 256).alias("sha256")),
