@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters that aren't white space; null text: no words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WS_RE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS_RE), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

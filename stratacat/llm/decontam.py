@@ -71,9 +71,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
     d = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
     hits = _seeds(d.select("k1", "k2", tokens(F.col("text")).alias("d")), ["k1", "k2"], "d", sorted(set().union(*by_window.values()))).join(b_seeds, "seed")
     beside = sized(hits.select("k1", "k2", "item_id", (F.col("at") - F.col("b_at")).alias("begin")).distinct())
-    pairs = d.join(beside, ["k1", "k2"]).join(b, "item_id").select("k1", "k2", "item_id", "begin", "b", tokens(F.col("text")).alias("d"))
-    same = F.transform("b", lambda x, j: F.when((F.col("begin") + j >= 0) & F.coalesce(F.get("d", F.greatest(F.col("begin") + j, F.lit(0))) == x, F.lit(False)), 1).otherwise(0))
-    most = let(same, lambda s: F.struct(F.aggregate(s, F.lit(0), lambda a, x: a + x).alias("all"), F.array_max(F.transform(F.sequence(F.lit(1), F.size(s) - w + 1), lambda i: F.aggregate(F.slice(s, i, w), F.lit(0), lambda a, x: a + x))).alias("run")))
+    pairs = d.join(beside, ["k1", "k2"]).join(b, "item_id").select("k1", "k2", "item_id", "begin", "b", "text")
+    same = lambda d: F.transform("b", lambda x, j: F.when((F.col("begin") + j >= 0) & F.coalesce(F.get(d, F.greatest(F.col("begin") + j, F.lit(0))) == x, F.lit(False)), 1).otherwise(0))
+    most = let(let(tokens(F.col("text")), same), lambda s: F.struct(F.aggregate(s, F.lit(0), lambda a, x: a + x).alias("all"), F.array_max(F.transform(F.sequence(F.lit(1), F.size(s) - w + 1), lambda i: F.aggregate(F.slice(s, i, w), F.lit(0), lambda a, x: a + x))).alias("run")))
     found = pairs.select("k1", "k2", "item_id", "begin", F.size("b").alias("n_tokens"), w.alias("w"), most.alias("m")).where(F.col("m.run") >= F.ceil(share * F.col("w")))
     best = F.max_by(F.struct("begin", F.col("m.all").alias("n_matched"), "n_tokens"), F.struct(F.col("m.all"), -F.col("begin")))
     return found.groupBy("k1", "k2", "item_id").agg(best.alias("x")).select("k1", "k2", "item_id", "x.*")

@@ -7,10 +7,10 @@ from math import exp, lgamma, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacat.llm.common import WS, cut, let, sized, table, words
+from stratacat.llm.common import cut, let, sized, table, words
 
 WINDOW = 5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The transformed statistics, each with the standard deviation that stands in the covariance at least: differences below it never look like outliers.
 FEATURES = (("x_length", 0.05), ("x_symbols", 0.6), ("x_lines", 0.6), ("x_repeats", 0.12))
@@ -18,7 +18,7 @@ P = len(FEATURES)
 
 
 def repeat_words(w: Column) -> Column:
-    """Words of the array w in a 5-word window found twice or more, each word once. Windows are compared by the XXH64 of their words."""
+    """Words of the array w in a 5-word window found twice or more, each word once. Windows are compared by the XXH64 of their words' XXH64."""
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -26,7 +26,8 @@ def repeat_words(w: Column) -> Column:
         at = F.sort_array(F.transform(twins, lambda e: e["i"]))
         return let(at, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+    each = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - WINDOW), lambda i: F.xxhash64(*[F.get(x, i + k) for k in range(WINDOW)]))
+    windows = let(F.transform(w, lambda x: F.xxhash64(x)), each)
     return F.when(F.size(w) > WINDOW, let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))).otherwise(0)
 
 
@@ -34,13 +35,13 @@ def measure(docs: DataFrame) -> DataFrame:
     """docs with the column `q`: the counts, base_failed and the transformed statistics. A null text has no words."""
     text = F.coalesce(docs["text"], F.lit(""))
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    of_words = let(words(docs["text"]), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r")))
+    of_words = let(words(docs["text"]), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), repeat_words(w).alias("r")))
     d = docs.withColumn("__w", of_words).withColumn(
         "q",
         F.struct(
             F.col("__w.n").cast("long").alias("n_words"),
-            F.length(F.translate(text, WS, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.col("__w.c").cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             lines.cast("long").alias("n_dup_lines"),
             F.col("__w.r").cast("long").alias("n_repeat_words"),
         ),
@@ -184,11 +185,13 @@ def judged(measured: DataFrame, est: DataFrame, tail: float = 1e-6) -> DataFrame
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are kept, with their columns. Reads the texts twice: for the estimates and to judge; no text is shuffled or stored."""
-    plain = docs.select("lang", "source", "text")
-    est = estimates(cut(measure(plain).select("lang", "source", "q")), **how)
+    """The rows of docs that are kept, with their columns. Each text is measured once: the rows are stored in the shared folder with their statistics until they are judged; no text is shuffled.
+
+    They are cut before any filter, which Spark would push below the statistics and so compute them twice.
+    """
     d = docs.select("lang", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    return judged(measure(d), est).where("kept").select("doc.*")
+    m = cut(measure(d).select("lang", "source", "q", "doc"))
+    return judged(m, estimates(m, **how)).where("kept").select("doc.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -202,3 +202,18 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_quality_measures_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        read.add(1)
+        return t
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = quality.keep_good(docs.withColumn("text", seen.asNondeterministic()("text")))
+    assert 0 < kept.count() < docs.count() and read.value == docs.count()
