@@ -359,16 +359,23 @@ def spread(rows: DataFrame, least: float, whole: int = 4096, share: int = 2048,
     return reduce(DataFrame.unionByName, links) if links else rows.select(F.col("k2").alias("a"), F.col("k2").alias("b")).limit(0)
 
 
+def alike(d: DataFrame) -> DataFrame:
+    """a, b: the keys k2 of d (k2, text) in each component of near_duplicates, as a star about the smallest. Texts without words are left out."""
+    some = d.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("k2").alias("doc_id"), "text")
+    return near_duplicates(some).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_links(d: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096) -> DataFrame:
     """a, b: pairs of keys k2 whose texts' shingle sets have a Jaccard similarity of least or more, enough to join all that such pairs join. Exact: see prefixes.
 
-    d: k2 and text, equal keys for equal texts only. Candidates that hang together are compared in one task up to `whole` texts, each 8 KB begun of a long one counting as a text, and larger
+    d: k2 and text, equal keys for equal texts only. Candidates are the components that SimHash links (alike), and what three bits miss by the shingles of prefixes; all are verified on
+    their shingles. Candidates that hang together are compared in one task up to `whole` texts, each 8 KB begun of a long one counting as a text, and larger
     groups in parts (spread): two ways to the same links.
     """
     met = cut(candidates(prefixes(d, size, least), least, crowd))
     pairs, crowds = met.where(~F.col("crowded")).select("a", "b"), met.where("crowded")
     stars = crowds.join(sized(crowds.groupBy("a").agg(F.min("b").alias("least"))), "a").select(F.col("least").alias("a"), "b")
-    roots = cut(components(pairs.union(stars)).select(F.col("node").alias("k2"), "root"))
+    roots = cut(components(pairs.union(stars).union(alike(d))).select(F.col("node").alias("k2"), "root"))
     asked = d.join(sized(roots.select("k2")), "k2", "left_semi")
     sets = asked.dropDuplicates(["k2"]).select("k2", shingle_set(F.col("text"), size).alias("s"))
     weights = asked.groupBy("k2").agg(F.max(F.ceil(F.octet_length("text") / 8192)).alias("w")).join(roots, "k2").groupBy("root").agg(F.sum("w").alias("w"))
@@ -382,8 +389,8 @@ def near_links(d: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128
 def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, crowd: int = 128, whole: int = 4096, bits: int = 64) -> DataFrame:
     """docs, with its columns, without rows that repeat the text of a row with a smaller doc_id, and of each group of near duplicates the row with the smallest; ids come before nulls.
 
-    Near duplicates are texts whose shingle sets have a Jaccard similarity of least or more; a group is what such pairs join. All of them are found: SimHash misses pairs at
-    0.8 (one in three of 15 to 29 words in six views), so the candidates are those that share a shingle of their prefixes, and all are verified.
+    Near duplicates are texts whose shingle sets have a Jaccard similarity of least or more; a group is what such pairs join. Candidates are the components that near_duplicates
+    links by SimHash; since three bits miss pairs at 0.8, those that share a shingle of their prefixes are candidates too, so that all are found. Every one is verified.
     Only hashes are grouped and joined: a row is its doc_id and its text's hash, of bits bits. Where texts of one hash differ in a second, the second is their key, so neither takes
     the other's place; texts are taken as equal if both are, 128 bits in all. What goes is a list of such pairs, broadcast where its measured size allows and else
     joined by hash. Of rows that repeat id and text one stays. Null texts are equal to each other, and no duplicates of others.

@@ -217,3 +217,20 @@ def test_quality_measures_each_text_once(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = quality.keep_good(docs.withColumn("text", seen.asNondeterministic()("text")))
     assert 0 < kept.count() < docs.count() and read.value == docs.count()
+
+
+def test_near_duplicates_are_found_by_simhash(spark, monkeypatch):
+    """Without the candidates by prefixes, what SimHash links is still found, and verified."""
+    from stratacat.llm import simhash
+
+    monkeypatch.setattr(simhash, "candidates", lambda posts, *_: spark.createDataFrame([], "a long, b long, crowded boolean"))
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(400)) for _ in range(5)]
+    near = [f"{t} end" for t in texts[:3]]
+    assert all((simhash.simhash(simhash.shingles(a, 3)) ^ simhash.simhash(simhash.shingles(b, 3))).bit_count() <= 3 for a, b in zip(texts, near, strict=False))
+    docs = spark.createDataFrame(list(enumerate([*texts, *near, "", " ", None])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1, 2, 3, 4, 8, 9, 10]
+    # Texts that SimHash links but whose shingles differ both stay.
+    monkeypatch.setattr(simhash, "RADIUS", 64)
+    monkeypatch.setattr(simhash, "simhash", lambda grams: 5)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1, 2, 3, 4, 8, 9, 10]
