@@ -87,11 +87,25 @@ def waits_on_refs(wal: DataFrame) -> DataFrame:
     return open_.select("member", "op_id").join(before, ["member", "op_id"], "left").select("member", "op_id", F.col("first").isNotNull().alias("waits"), F.col("first.op_id").alias("head"))
 
 
-def waits_on_ops(wal: DataFrame) -> DataFrame:
-    """member, op_id, waits_on: each earlier open operation of the member that shares any of blob_refs, once, as a row. The rows are the answer's own: use waits_on_refs to ask only whether and on which first."""
-    refs = wal.where("state <> 'done'").select("member", "seq", "op_id", F.explode(F.array_distinct("blob_refs")).alias("ref"))
-    pre = refs.select("member", "ref", F.col("seq").alias("pre"), F.col("op_id").alias("waits_on"))
-    return refs.join(pre, ["member", "ref"]).where("pre < seq").select("member", "op_id", "waits_on").distinct()
+def waits_on_ops(wal: DataFrame, wide: int = 32) -> DataFrame:
+    """member, op_id, waits_on: each earlier open operation of the member that shares any of blob_refs, once, as a row. The rows are the answer's own: use waits_on_refs to ask only whether and on which first.
+
+    Of the refs by which a pair waits only the least gives its row, so no pair is shuffled or stored to find repeats: each row knows the lesser refs of its operation that others have too. Operations with more
+    than `wide` refs don't carry them; their pairs alone are made distinct.
+    """
+    key = ["member", "op_id", "ref"]
+    refs = wal.where("state <> 'done'").select("member", "seq", "op_id", F.explode(F.array_distinct("blob_refs")).alias("ref")).where("member is not null and ref is not null and seq is not null")
+    each = refs.groupBy(*key).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    ops = each.groupBy("member", "op_id").agg(F.array_sort(F.collect_list(F.struct("ref", "first", "last"))).alias("refs"))
+    less = F.when(F.size("refs") <= wide, F.slice("refs", F.lit(1), F.col("i")))
+    rows = ops.select("member", "op_id", "refs", F.posexplode("refs").alias("i", "r")).select("member", "op_id", F.col("r.ref").alias("ref"), F.col("r.first").alias("first"), F.col("r.last").alias("last"), less.alias("less"))
+    pre = rows.select("member", "ref", F.col("op_id").alias("waits_on"), F.col("first").alias("pre"), F.col("less").alias("pre_less"))
+    met = lambda x, y: x.join(y, ["member", "ref"]).where("pre < last")
+    sooner = F.exists("less", lambda x: F.exists("pre_less", lambda y: (x["ref"] == y["ref"]) & (y["first"] < x["last"])))
+    few, columns = rows.where("less is not null"), ["member", "op_id", "waits_on"]
+    once = met(few, pre.where("pre_less is not null")).where(~sooner).select(*columns)
+    many = met(rows.where("less is null"), pre).select(*columns).union(met(few, pre.where("pre_less is null")).select(*columns))
+    return once.unionByName(many.distinct())
 
 
 def overlaps(a: Column, b: Column) -> Column:

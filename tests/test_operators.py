@@ -336,3 +336,16 @@ def test_empty_tables(spark):
     o = spark.createDataFrame([], "object_key string, observed_sha string")
     assert status.classify(t, lk).count() == status.push_plan(t, lk, o).count() == locks.corrupt(o).count() == 0
     assert scan.worst(spark.createDataFrame([], "path string, kind string")).first().exit_code == 0
+
+
+def test_pairs_that_wait_are_not_shuffled(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("mn"), seq, rng.choice(["a", "b", None]) if seq % 9 == 0 else f"op{seq}", "", "", None if seq % 11 == 0 else [rng.choice([*"uvwxyz", None]) for _ in range(rng.randrange(6))], rng.choice(["intent", "failed", "done"])) for seq in range(120)]
+    log = spark.createDataFrame(rows, CHAINED)
+    open_ = [r for r in rows if r[6] != "done"]
+    want = sorted({(a[0], str(a[2]), str(b[2])) for a in open_ for b in open_ if a[0] == b[0] and b[1] < a[1] and {*(a[5] or ())} & {*(b[5] or ())} - {None}})
+    for wide in (32, 2, 0):
+        assert sorted((r.member, str(r.op_id), str(r.waits_on)) for r in wal.waits_on_ops(log, wide).collect()) == want and len(want) > 100
+    # Of operations with few refs no pair meets another after the join: it is the plan's last exchange.
+    plan = wal.waits_on_ops(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.splitlines()[2].lstrip(" :+-").startswith("Join")
