@@ -53,13 +53,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df, a table that is cut, in no more partitions than run at once (16 at least): for one pass over it that keeps no more than sums."""
+    return df.coalesce(max(16, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def sized(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
-    """df cut, and marked for broadcast only if its rows, counted and measured as text, have no more than most_bytes; else Spark joins it as it would any table."""
+    """df cut, and marked for broadcast only if its rows, counted and measured as text, have no more than most_bytes; else Spark joins it as it would any table. What is marked comes in a partition for each 256 KB begun, however many all but empty ones it was cut in."""
     df = cut(df)
     if not df.columns:
         return df
-    n = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= most_bytes else df
+    n = gathered(df).agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))), F.lit(0))).first()[0]
+    return F.broadcast(df.coalesce(1 + n // (256 << 10))) if n <= most_bytes else df
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:

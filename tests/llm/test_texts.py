@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratacat.llm import chat, components, html, pii, simhash, suffix, tokens, urls
+from stratacat.llm.common import sized
 
 DOCS = "doc_id long, text string"
 ODD = [None, "", " \t\n", "a", "é" * 300, "ab" * 400, "x" * 199, "x" * 200, "x" * 201, "\U0001f600" * 60]
@@ -377,6 +378,45 @@ def test_chains_of_components(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+@pytest.mark.parametrize("alone", [0, 1 << 18])
+def test_components_in_rounds_and_in_one_task(spark, alone):
+    rng = random.Random(15)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000, 1000 + i) for i in range(50)] + [(2**62, -(2**62)), (7, 7), (7, None)]
+    want = {x: x for p in pairs[:-1] for x in p if p[0] != p[1]}
+    for _ in want:
+        for a, b in pairs[:-2]:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    edges = spark.createDataFrame(pairs + pairs[:9], "a long, b long")
+    assert {r.node: r.root for r in components.components(edges, alone=alone).collect()} == want
+    digits = lambda x: f"é{x + (1 << 62):020}"
+    named = spark.createDataFrame([(digits(a), digits(b)) for a, b in pairs[:-1]], "a string, b string")
+    assert {r.node: r.root for r in components.components(named, alone=alone).collect()} == {digits(k): digits(v) for k, v in want.items()}
+    assert components.components(edges.limit(0), alone=alone).collect() == []
+
+
+def test_small_tables_take_few_tasks(spark):
+    """However many partitions a shuffle has: a few edges or rows aren't dealt out and stored again in all of them, round by round."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    status = spark.sparkContext.statusTracker()
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+        spark.sparkContext.setJobGroup("few edges", "")
+        assert {r.root for r in components.components(edges).collect()} == {0}
+        stages = {s for j in status.getJobIdsForGroup("few edges") for s in status.getJobInfo(j).stageIds}
+        assert sum(s.numCompletedTasks for s in map(status.getStageInfo, stages) if s) <= 4 * 64
+        small = sized(edges.groupBy("a").agg(F.max("b").alias("b")))
+        assert small.rdd.getNumPartitions() == 1
+        assert small.count() == 40
+        assert sized(edges.groupBy("a").count(), most_bytes=10).rdd.getNumPartitions() == 64
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_one(spark):
     rng = random.Random(14)
     base = [f"word{rng.randrange(10**6)}" for _ in range(300)]
