@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,15 @@ VOCABULARY = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.ti
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1 << 18
 _BLOCKS = "file string, block long, data binary, labels array<long>"
+_LABELS = "file string, ordinal long, label long"
+_FOUND = "file string, block long, n long, head long, gaps array<long>, tail long"
+#: What a task does to its batches.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _in_turn(first: Step, second: Step) -> Step:
+    """Both in one Python process: what passes between them, a block at a time, doesn't go through the JVM."""
+    return lambda batches: second(first(batches))
 
 
 def _encoding(ranks: bytes):  # noqa: ANN202
@@ -29,13 +38,7 @@ def _encoding(ranks: bytes):  # noqa: ANN202
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
-def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = 50256, block_ids: int = BLOCK) -> DataFrame:
-    """The flat token files that docs make, one a partition, as rows of file, block (from 0), data (16-bit little-endian ids, block_ids of them but for the last) and labels.
-
-    Each text's ids and then eod; a null or empty text is a bare eod. A document runs over as many blocks as it needs. labels are the doc_ids whose eod stands in the block, in order.
-    vocabulary: a file of ranks of fewer than 65536 ids, read here and sent along, so executors needn't have it. A partition's rows come in the order of its input,
-    so a task that runs again makes the same file.
-    """
+def _cutting(vocabulary: str, eod: int, block_ids: int) -> Step:
     with open(vocabulary, "rb") as f:
         ranks = f.read()
     size = 2 * block_ids
@@ -61,7 +64,21 @@ def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = 50256,
         if held:
             yield row(bytes(held), labels)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, _BLOCKS)
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+
+
+def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = 50256, block_ids: int = BLOCK) -> DataFrame:
+    """The flat token files that docs make, one a partition, as rows of file, block (from 0), data (16-bit little-endian ids, block_ids of them but for the last) and labels.
+
+    Each text's ids and then eod; a null or empty text is a bare eod. A document runs over as many blocks as it needs. labels are the doc_ids whose eod stands in the block, in order.
+    vocabulary: a file of ranks of fewer than 65536 ids, read here and sent along, so executors needn't have it. A partition's rows come in the order of its input,
+    so a task that runs again makes the same file.
+    """
+    return _texts(docs).mapInArrow(_cutting(vocabulary, eod, block_ids), _BLOCKS)
 
 
 def _store(uri: str):  # noqa: ANN202
@@ -71,12 +88,7 @@ def _store(uri: str):  # noqa: ANN202
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if re.match(r"[a-z][a-z0-9+.-]*:", uri) else f"file://{uri}")
 
 
-def write_token_files(blocks: DataFrame, path: str) -> DataFrame:
-    """Writes the blocks of flat_blocks as flat files under path, one a partition and nothing but ids in them; gives file (its name), ordinal and label of each document.
-
-    A task writes beside its file and renames at the end, so one that runs again leaves the same file. Take an action on the result before the files are read.
-    """
-
+def _writing(path: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from uuid import uuid4
 
@@ -97,19 +109,31 @@ def write_token_files(blocks: DataFrame, path: str) -> DataFrame:
             out.close()
             store.move(f"{top}/{part}", f"{top}/{name}")
 
-    return blocks.select("file", "block", "data", "labels").mapInArrow(run, "file string, ordinal long, label long")
+    return run
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK, bytes_a_task: int = 64 << 20) -> DataFrame:
-    """Flat token files under path as blocks: file (its path), block, data. Spark lists paths and lengths; tasks read ranges of block_ids ids, so a file may be larger than a task's memory.
+def write_token_files(blocks: DataFrame, path: str) -> DataFrame:
+    """Writes the blocks of flat_blocks as flat files under path, one a partition and nothing but ids in them; gives file (its name), ordinal and label of each document.
 
-    Names that start with . or _ are no token files. The tasks open the files themselves (see _store).
+    A task writes beside its file and renames at the end, so one that runs again leaves the same file. Take an action on the result before the files are read.
     """
-    size = width * block_ids
+    return blocks.select("file", "block", "data", "labels").mapInArrow(_writing(path), _LABELS)
+
+
+def make_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, eod: int = 50256, block_ids: int = BLOCK) -> DataFrame:
+    """write_token_files of flat_blocks, in one Python process a task: no block is a row."""
+    return _texts(docs).mapInArrow(_in_turn(_cutting(vocabulary, eod, block_ids), _writing(path)), _LABELS)
+
+
+def _ranges(spark: SparkSession, path: str, size: int, bytes_a_task: int) -> DataFrame:
+    """file, length and block of each range of size bytes, dealt out."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
     total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+    return ranges.repartition(max(1, -(-total // bytes_a_task)), "file", "block").sortWithinPartitions("file", "block")
+
 
+def _reading(size: int) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = source = None
         for b in batches:
@@ -120,16 +144,19 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids:
                 data = source.read_at(min(size, length - block * size), block * size)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
 
-    return ranges.repartition(max(1, -(-total // bytes_a_task)), "file", "block").sortWithinPartitions("file", "block").mapInArrow(run, "file string, block long, data binary")
+    return run
 
 
-def separator_scan(blocks: DataFrame, eod: int = 50256, width: int = 2) -> DataFrame:
-    """file, ordinal (from 0) and n_tokens of each document of the files: the ids before each separator, which isn't counted; ids after the last are a document of their own.
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK, bytes_a_task: int = 64 << 20) -> DataFrame:
+    """Flat token files under path as blocks: file (its path), block, data. Spark lists paths and lengths; tasks read ranges of block_ids ids, so a file may be larger than a task's memory.
 
-    Each block is searched at once, knowing nothing of the others: its separators, the ids before the first, between them and after the last. A prefix scan over the blocks'
-    few numbers, in the order of a file's blocks, then gives each the separators before it and the ids that are open where it starts. Blocks are searched
-    wherever they lie; only three numbers a block are brought together by file. A block may hold no separator, or nothing but separators. Empty files and null data have no documents.
+    Names that start with . or _ are no token files. The tasks open the files themselves (see _store).
     """
+    size = width * block_ids
+    return _ranges(spark, path, size, bytes_a_task).mapInArrow(_reading(size), "file string, block long, data binary")
+
+
+def _searching(eod: int, width: int) -> Step:
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +171,33 @@ def separator_scan(blocks: DataFrame, eod: int = 50256, width: int = 2) -> DataF
                     names=["file", "block", "n", "head", "gaps", "tail"],
                 )
 
-    found = cut(blocks.select("file", "block", "data").mapInArrow(run, "file string, block long, n long, head long, gaps array<long>, tail long"))
+    return run
+
+
+def separator_scan(blocks: DataFrame, eod: int = 50256, width: int = 2) -> DataFrame:
+    """file, ordinal (from 0) and n_tokens of each document of the files: the ids before each separator, which isn't counted; ids after the last are a document of their own.
+
+    Each block is searched at once, knowing nothing of the others: its separators, the ids before the first, between them and after the last. A prefix scan over the blocks'
+    few numbers, in the order of a file's blocks, then gives each the separators before it and the ids that are open where it starts. Blocks are searched
+    wherever they lie; only three numbers a block are brought together by file. A block may hold no separator, or nothing but separators. Empty files and null data have no documents.
+    """
+    return _stitch(cut(blocks.select("file", "block", "data").mapInArrow(_searching(eod, width), _FOUND)))
+
+
+def scan_token_files(spark: SparkSession, path: str, eod: int = 50256, width: int = 2, block_ids: int = BLOCK, bytes_a_task: int = 64 << 20) -> DataFrame:
+    """separator_scan of read_token_files, a range read and searched in one Python process: no block is a row."""
+    size = width * block_ids
+    return _stitch(cut(_ranges(spark, path, size, bytes_a_task).mapInArrow(_in_turn(_reading(size), _searching(eod, width)), _FOUND)))
+
+
+def _stitch(found: DataFrame) -> DataFrame:
+    """The prefix scan of separator_scan over what the search of each block gave."""
     order = Window.partitionBy("file").orderBy("block")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     few = found.select("file", "block", "n", "head", "tail")
-    # Blocks from one with a separator up to the next such one share a run: its tail and the heads after it are open together.
-    runs = few.withColumn("run", F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(order)).withColumn("open", F.sum(F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("head"))).over(Window.partitionBy("file", "run").orderBy("block")))
+    # A block with a separator and those up to the next such one form a run: its tail and the heads after it are open together. All is in one order, so a file's blocks are sorted once.
+    summed = few.withColumn("sum", F.sum(F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("head"))).over(so_far))
+    runs = summed.withColumn("open", F.col("sum") - F.coalesce(F.last(F.when(F.col("n") > 0, F.col("sum") - F.col("tail")), ignorenulls=True).over(so_far), F.lit(0)))
     stitched = (
         runs.withColumn("carried", F.coalesce(F.lag("open").over(order), F.lit(0)))
         .withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -165,8 +214,8 @@ def op5(spark, sf_dir: str) -> DataFrame:
     from uuid import uuid4
 
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
-    labels = cut(write_token_files(flat_blocks(table(spark, sf_dir, "documents")), folder))
+    labels = cut(make_token_files(table(spark, sf_dir, "documents"), folder))
     if not labels.take(1):
         return labels.select(F.col("label").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"))
-    found = separator_scan(read_token_files(spark, folder)).withColumn("file", F.substring_index("file", "/", -1))
+    found = scan_token_files(spark, folder).withColumn("file", F.substring_index("file", "/", -1))
     return found.join(labels, ["file", "ordinal"]).select(F.col("label").alias("doc_id"), "n_tokens")

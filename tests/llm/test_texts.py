@@ -285,6 +285,33 @@ def test_token_counts_of_a_table(spark, tmp_path):
     assert tokens.op5(spark, str(tmp_path)).count() == 0
 
 
+def test_no_block_of_ids_is_a_row(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a b c"), (2, "d")], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    plans = []
+    monkeypatch.setattr(tokens, "cut", lambda df, real=tokens.cut: plans.append(df._jdf.queryExecution().analyzed().toString()) or real(df))
+    assert sorted(map(tuple, tokens.op5(spark, str(tmp_path)).collect())) == [(1, 3), (2, 1)]
+    assert [p.count("MapInArrow") for p in plans] == [1, 1] and not any("data#" in p for p in plans)
+
+
+def test_blocks_of_a_file_are_sorted_once(spark):
+    blocks = spark.createDataFrame([("f", 0, b"\x01\x00\x09\x00\x02\x00"), ("f", 1, b"\x03\x00"), ("f", 2, b"\x04\x00\x09\x00")], "file string, block long, data binary")
+    got = tokens.separator_scan(blocks, eod=9)
+    windows = got._jdf.queryExecution().sparkPlan().toString().count("Window ["), got._jdf.queryExecution().executedPlan().toString()
+    assert windows[0] > 1 and len(re.findall(r"Window \[.*\n[^\n]*Sort \[", windows[1])) == 1
+    assert sorted(map(tuple, got.collect())) == [("f", 0, 1), ("f", 1, 3)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 64, 1 << 18])
+def test_files_made_and_scanned_as_from_blocks(spark, tmp_path, block):
+    texts = docs(spark, ["a b c d e f g " * 3, "", None, "word", "é" * 40, "", "tail"]).repartition(2).localCheckpoint()
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = lambda df: sorted(tuple(r)[1:] if "/" in r.file else tuple(r) for r in df.collect())
+    assert rows(tokens.make_token_files(texts, a, block_ids=block)) == rows(tokens.write_token_files(tokens.flat_blocks(texts, block_ids=block), b))
+    read = lambda top: {p.name: p.read_bytes() for p in (tmp_path / top).glob("part-*")}
+    assert read("a") == read("b") and read("a")
+    assert rows(tokens.scan_token_files(spark, a, block_ids=block)) == rows(tokens.separator_scan(tokens.read_token_files(spark, b, block_ids=block)))
+
+
 @pytest.mark.parametrize("block", [1, 2, 5, 1000])
 def test_files_without_an_index(spark, tmp_path, block):
     import numpy as np
